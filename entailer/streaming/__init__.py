@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reasoner is a batch system: it materialises a closed set of triples and
+has no stream source, watermark, window or stateful operator. This package is
+intentionally empty; see the README for the scope decision.
+"""
