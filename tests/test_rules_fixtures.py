@@ -1,0 +1,170 @@
+"""One test per rule on the small rule fixtures (inputs and expected sets as
+documented in FIXTURES.md part A, written inline here)."""
+
+from conftest import rows, write_lines
+
+from entailer.functions import vocab as V
+from entailer.operators import closure, rules_owl as O, rules_rdfs as R, sameas as S
+from entailer.operators.graph import (
+    inverse_pairs,
+    properties_of_kind,
+    relation,
+    restrictions,
+    types_of,
+)
+from entailer.sources.triples import load_graph
+
+RS = "<http://www.w3.org/2000/01/rdf-schema#"
+RDF = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+TYPE, SAME = V.RDF_TYPE, V.OWL_SAME_AS
+
+
+def graph(spark, tmp_dir, lines):
+    return load_graph(spark, write_lines(tmp_dir, "g.in", lines))
+
+
+def test_rdfs2(spark, tmp_dir):
+    g = graph(spark, tmp_dir, [f"p {RS}domain> x", "s p o", "u p v"])
+    out = R.rdfs2(g.abox, relation(g.tbox, V.RDFS_DOMAIN))
+    assert rows(out) == {("s", TYPE, "x"), ("u", TYPE, "x")}
+
+
+def test_rdfs3(spark, tmp_dir):
+    g = graph(spark, tmp_dir, [f"p {RS}range> x", f"q {RS}range> y",
+                               "g p h", "i p j", "k q l", "m q n"])
+    out = R.rdfs3(g.abox, relation(g.tbox, V.RDFS_RANGE))
+    assert rows(out) == {("h", TYPE, "x"), ("j", TYPE, "x"), ("l", TYPE, "y"), ("n", TYPE, "y")}
+
+
+def test_rdfs5(spark, tmp_dir):
+    g = graph(spark, tmp_dir, [f"p {RS}subPropertyOf> q", f"q {RS}subPropertyOf> r",
+                               f"r {RS}subPropertyOf> s"])
+    out = closure.rdfs5(g.tbox)
+    assert rows(out, "s", "o") == {("p", "q"), ("p", "r"), ("p", "s"),
+                                   ("q", "r"), ("q", "s"), ("r", "s")}
+
+
+def test_rdfs5_curie_input(spark, tmp_dir):
+    """CURIE spellings are normalised at ingest, so they are recognised."""
+    g = graph(spark, tmp_dir, ["p rdfs:subPropertyOf q", "q rdfs:subPropertyOf r"])
+    assert rows(closure.rdfs5(g.tbox), "s", "o") == {("p", "q"), ("q", "r"), ("p", "r")}
+
+
+def test_rdfs7(spark, tmp_dir):
+    g = graph(spark, tmp_dir, ["s p o", "x p y", f"p {RS}subPropertyOf> q"])
+    out = R.rdfs7(g.abox, relation(g.tbox, V.RDFS_SUBPROPERTY_OF))
+    assert rows(out) == {("s", "q", "o"), ("x", "q", "y")}
+
+
+def test_rdfs9(spark, tmp_dir):
+    g = graph(spark, tmp_dir, [f"u {RDF}type> v", f"m {RDF}type> v", f"v {RS}subClassOf> w"])
+    out = R.rdfs9(types_of(g.abox), relation(g.tbox, V.RDFS_SUBCLASS_OF))
+    assert rows(out) == {("u", TYPE, "w"), ("m", TYPE, "w")}
+
+
+def test_rdfs11(spark, tmp_dir):
+    g = graph(spark, tmp_dir, [f"u {RS}subClassOf> v", f"v {RS}subClassOf> w",
+                               f"w {RS}subClassOf> x"])
+    assert rows(closure.rdfs11(g.tbox), "s", "o") == {
+        ("u", "v"), ("u", "w"), ("u", "x"), ("v", "w"), ("v", "x"), ("w", "x")}
+
+
+def test_owl1_star_links(spark, tmp_dir):
+    g = graph(spark, tmp_dir, ["p rdf:type owl:FunctionalProperty", "u p v", "u p w"])
+    out = O.owl1(g.abox, properties_of_kind(g.tbox, V.OWL_FUNCTIONAL_PROPERTY))
+    assert rows(out) == {("w", SAME, "v")}
+
+
+def test_owl2_star_links(spark, tmp_dir):
+    g = graph(spark, tmp_dir, ["p rdf:type owl:InverseFunctionalProperty", "v p u", "w p u"])
+    out = O.owl2(g.abox, properties_of_kind(g.tbox, V.OWL_INVERSE_FUNCTIONAL_PROPERTY))
+    assert rows(out) == {("w", SAME, "v")}
+
+
+def test_owl1_group_is_linear(spark, tmp_dir):
+    """A group of n values yields n-1 links (not n*(n-1) pairs), one cluster."""
+    lines = ["p rdf:type owl:FunctionalProperty"] + [f"u p v{i:02d}" for i in range(30)]
+    g = graph(spark, tmp_dir, lines)
+    links = O.owl1(g.abox, properties_of_kind(g.tbox, V.OWL_FUNCTIONAL_PROPERTY))
+    assert links.count() == 29
+    clusters = S.same_as_clusters(S.same_as_pairs(links))
+    assert rows(clusters, "id") == {("v00",)} and clusters.count() == 29
+
+
+def test_owl3(spark, tmp_dir):
+    g = graph(spark, tmp_dir, ["p rdf:type owl:SymmetricProperty", "a p b", "c q d"])
+    out = O.owl3(g.abox, properties_of_kind(g.tbox, V.OWL_SYMMETRIC_PROPERTY))
+    assert rows(out) == {("b", "p", "a")}
+
+
+def test_owl4(spark, tmp_dir):
+    g = graph(spark, tmp_dir, [
+        "p rdf:type owl:TransitiveProperty", "a p b", "b p c", "c p d",
+        "q rdf:type owl:TransitiveProperty", "x q y", "y q z", "f r g", "m r n"])
+    out = closure.owl4(g.abox, properties_of_kind(g.tbox, V.OWL_TRANSITIVE_PROPERTY))
+    assert rows(out) == {
+        ("a", "p", "b"), ("b", "p", "c"), ("c", "p", "d"), ("a", "p", "c"), ("b", "p", "d"),
+        ("a", "p", "d"), ("x", "q", "y"), ("y", "q", "z"), ("x", "q", "z")}
+
+
+def test_owl4_needs_rdf_type(spark, tmp_dir):
+    """A property is transitive only through `rdf:type owl:TransitiveProperty`."""
+    g = graph(spark, tmp_dir, ["p ex:label owl:TransitiveProperty", "a p b", "b p c"])
+    assert closure.owl4(g.abox, properties_of_kind(g.tbox, V.OWL_TRANSITIVE_PROPERTY)).count() == 0
+
+
+def test_owl7_clusters_and_owl11(spark, tmp_dir):
+    g = graph(spark, tmp_dir, [
+        "v owl:sameAs w", "w owl:sameAs u", "u owl:sameAs x", "a owl:sameAs x",
+        "d owl:sameAs c", "d owl:sameAs f", "g owl:sameAs d", "u p d"])
+    clusters = S.same_as_clusters(S.same_as_pairs(g.abox))
+    assert rows(clusters, "member", "id") == {
+        ("u", "a"), ("v", "a"), ("w", "a"), ("x", "a"), ("d", "c"), ("f", "c"), ("g", "c")}
+    members = rows(S.cluster_members(clusters), "id", "n_members", "max_member")
+    assert members == {("a", 5, "x"), ("c", 4, "g")}
+    assert rows(S.owl11(g.abox, clusters)) == {("u", "p", "d"), ("a", "p", "c")}
+
+
+def test_owl8_all_inverses(spark, tmp_dir):
+    """Every inverse of a property is used, in both directions."""
+    g = graph(spark, tmp_dir, ["p owl:inverseOf q", "p owl:inverseOf r", "a p b", "c q d"])
+    out = O.owl8(g.abox, inverse_pairs(g.tbox))
+    assert rows(out) == {("b", "q", "a"), ("b", "r", "a"), ("d", "p", "c")}
+
+
+def test_owl14a(spark, tmp_dir):
+    """The object must be the restriction's value, not the restriction."""
+    g = graph(spark, tmp_dir, ["v owl:hasValue w", "v owl:onProperty p", "u p w", "u2 p z"])
+    out = O.owl14a(g.abox, restrictions(g.tbox, "hasValue"))
+    assert rows(out) == {("u", TYPE, "v")}
+
+
+def test_owl14b(spark, tmp_dir):
+    """The conclusion's object is the value w."""
+    g = graph(spark, tmp_dir, ["v owl:hasValue w", "v owl:onProperty p", "u rdf:type v"])
+    out = O.owl14b(types_of(g.abox), restrictions(g.tbox, "hasValue"))
+    assert rows(out) == {("u", "p", "w")}
+
+
+def test_owl15(spark, tmp_dir):
+    g = graph(spark, tmp_dir, ["v owl:someValuesFrom w", "v owl:onProperty p",
+                               "x rdf:type w", "u p x"])
+    out = O.owl15(g.abox, types_of(g.abox), restrictions(g.tbox, "someValuesFrom"))
+    assert rows(out) == {("u", TYPE, "v")}
+
+
+def test_owl15_two_restrictions_same_filler(spark, tmp_dir):
+    """Several restrictions may share a filler class."""
+    g = graph(spark, tmp_dir, ["v owl:someValuesFrom w", "v owl:onProperty p",
+                               "v2 owl:someValuesFrom w", "v2 owl:onProperty q",
+                               "x rdf:type w", "u p x", "u2 q x"])
+    out = O.owl15(g.abox, types_of(g.abox), restrictions(g.tbox, "someValuesFrom"))
+    assert rows(out) == {("u", TYPE, "v"), ("u2", TYPE, "v2")}
+
+
+def test_owl16(spark, tmp_dir):
+    """The triple side is keyed on (subject, property)."""
+    g = graph(spark, tmp_dir, ["v owl:allValuesFrom w", "v owl:onProperty p",
+                               "u rdf:type v", "u p x", "u q y"])
+    out = O.owl16(g.abox, types_of(g.abox), restrictions(g.tbox, "allValuesFrom"))
+    assert rows(out) == {("x", TYPE, "w")}
