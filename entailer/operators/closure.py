@@ -2,9 +2,9 @@
 
 Spark SQL's recursive CTEs accept only ``UNION ALL`` and stop on cycles, so
 closures are driver loops: each round joins the newest paths (the delta) with
-the edges, keeps only paths not known yet, pins them with ``checkpoint()`` and
-stops when nothing new appears. The closure is the union of the pinned deltas;
-no state is rewritten between rounds.
+the edges, keeps only paths not known yet, appends them to a bucketed fact
+table in the checkpoint folder and stops when nothing new appears. No state is
+rewritten between rounds.
 
 ``keys`` lets one loop close many relations at once (OWL 4 closes every
 transitive property together, keyed by the predicate).
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
-from entailer.operators.fixpoint import fresh, is_empty, new_facts, pin, union_all
+from entailer.operators.fixpoint import FactStore, fresh, is_empty, new_facts
 from entailer.operators.graph import as_triples, properties_of_kind, relation
 from entailer.operators.joins import measure
 
@@ -41,32 +41,33 @@ def transitive_closure(edges: DataFrame, keys: Sequence[str] = (),
 
     ``linear``: new paths = delta . edges (one edge longer per round; best for
     shallow hierarchies, the edge side is broadcast when small).
-    ``doubling``: new paths = delta . all and all . delta (path lengths double
-    per round, so ``log2(longest path)`` rounds; both sides instance-sized).
-    Reflexive pairs appear only through cycles. Input duplicates are
-    irrelevant: the state is a set.
+    ``doubling``: new paths = delta . known and previous . delta (path lengths
+    double per round, so ``log2(longest path)`` rounds; both sides
+    instance-sized). Reflexive pairs appear only through cycles. Input
+    duplicates are irrelevant: the state is a set, kept in a bucketed
+    :class:`FactStore` so the known paths are never re-shuffled.
     """
     keys = list(keys)
     cols = keys + ["s", "o"]
-    base = pin(edges.select(*cols).distinct())
-    parts = [base]
+    store = FactStore(edges.sparkSession, cols)
+    base = store.add(edges.select(*cols).distinct())
     delta = base
     small_edges = method == "linear" and measure(base).broadcast
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        known = union_all(parts)
+    while max_rounds is None or store.rounds <= max_rounds:
+        k = store.rounds - 1
+        known = store.upto(k)
         if method == "linear":
             cand = _compose(delta, base, keys, broadcast_right=small_edges)
         elif method == "doubling":
-            cand = _compose(delta, known, keys).unionByName(_compose(known, delta, keys))
+            cand = _compose(delta, known, keys)
+            if k > 0:
+                cand = cand.unionByName(_compose(store.upto(k - 1), delta, keys))
         else:
             raise ValueError(f"unknown closure method {method!r}")
-        delta = pin(new_facts(cand, known))
+        delta = store.add(new_facts(cand, known))
         if is_empty(delta):
             break
-        parts.append(delta)
-    return union_all(parts)
+    return store.all()
 
 
 def rdfs11(tbox: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Lineage cutting, set difference of facts, and the semi-naive loop driver.
+"""Lineage cutting, set difference of facts, and the semi-naive loop state.
 
-Recursive rules run as driver loops of DataFrame jobs. Each round's delta is
-pinned with a *reliable* ``checkpoint()`` into ``spark.checkpoint.dir`` (a
-shared folder on a cluster), so a lost executor never forces recomputation of
-earlier rounds and the logical plan does not grow with the number of rounds.
+Recursive rules run as driver loops of DataFrame jobs. Intermediate results
+are written as parquet tables into ``spark.checkpoint.dir`` (a shared folder
+on a cluster) and read back, so a lost executor never forces recomputation of
+earlier rounds, the logical plan does not grow with the number of rounds, and
+every read-back has fresh attribute ids (safe to self-join).
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +48,16 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to reliable storage and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return fresh(df.checkpoint(eager=True))
+    """Materialise ``df`` as parquet in the checkpoint folder and read it back.
+
+    Unlike ``Dataset.checkpoint`` the result carries no physical-partitioning
+    metadata bound to old attribute ids, so it can be self-joined freely; it
+    is also columnar, compressed and filterable at the scan.
+    """
+    spark = df.sparkSession
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/pinned-" + uuid.uuid4().hex
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def new_facts(candidates: DataFrame, known: DataFrame,
@@ -72,3 +81,44 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
+
+
+class FactStore:
+    """The growing fact set of a fixpoint, as a table in the checkpoint folder.
+
+    Each round's new facts are appended as one partition (``rnd = k``) of a
+    parquet table bucketed on the fact columns, with as many buckets as the
+    session's shuffle partitions. Reading one round is a partition-pruned
+    scan; reading everything known is a bucketed scan whose partitioning
+    already matches the ``left_anti`` join of :func:`new_facts`, so the known
+    facts are never shuffled again -- only the (smaller) candidates are.
+    Committed files survive the loss of the executors that wrote them.
+    """
+
+    def __init__(self, spark: SparkSession, cols: Sequence[str] = ("s", "p", "o"),
+                 buckets: int | None = None):
+        self.spark = spark
+        self.cols = list(cols)
+        self.name = "entailer_facts_" + uuid.uuid4().hex
+        self.path = ensure_checkpoint_dir(spark).rstrip("/") + "/" + self.name
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.rounds = 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Append ``df`` as the next round; return that round, read back."""
+        k = self.rounds
+        (df.select(*self.cols).withColumn("rnd", F.lit(k)).write.mode("append")
+         .format("parquet").partitionBy("rnd").bucketBy(self.buckets, *self.cols)
+         .option("path", self.path).saveAsTable(self.name))
+        self.rounds += 1
+        return self.where(F.col("rnd") == k)
+
+    def where(self, cond) -> DataFrame:
+        return self.spark.table(self.name).where(cond).select(*self.cols)
+
+    def upto(self, k: int) -> DataFrame:
+        """Rounds ``0..k``."""
+        return self.where(F.col("rnd") <= k)
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.name).select(*self.cols)

@@ -56,6 +56,18 @@ def _t(df: DataFrame, s: Column, p: str | Column, o: Column) -> DataFrame:
     return df.select(s.alias("s"), p.alias("p"), o.alias("o"))
 
 
+def _many(df: DataFrame, *triples: tuple[Column, str, Column, Column | None]) -> DataFrame:
+    """Several triples per row from one scan: ``(s, p, o, condition)`` each.
+
+    The row is read once and ``explode``d into its triples (shared
+    sub-expressions such as a text digest are computed once per row).
+    """
+    structs = [F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o")) for s, p, o, _ in triples]
+    items = [st if cond is None else F.when(cond, st) for st, (_, _, _, cond) in zip(structs, triples)]
+    return (df.select(F.explode(F.array(*items)).alias("t")).where(F.col("t").isNotNull())
+            .select("t.s", "t.p", "t.o"))
+
+
 def _term(prefix: str, *cols) -> Column:
     return F.concat(F.lit(prefix), *[F.col(c).cast("string") if isinstance(c, str) else c
                                      for c in cols])
@@ -69,26 +81,29 @@ def raw_abox(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = lineitem.alias("a"), lineitem.alias("b")
     next_line = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey"))
                        & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1))
-    digest = F.md5(F.col("text"))
     ord_ = _term("ex:ord", "o_orderkey")
+    status = F.col("o_orderstatus")
+    digest = docs.select("doc_id", "source", _term("ex:h", F.md5(F.col("text"))).alias("h"))
+    doc = _term("ex:doc", "doc_id")
     return union_all([
         _t(customer, _term("ex:cust", "c_custkey"), "rdf:type", _term("ex:Nation", "c_nationkey")),
         _t(supplier, _term("ex:supp", "s_suppkey"), "rdf:type", _term("ex:Nation", "s_nationkey")),
         _t(part, _term("ex:part", "p_partkey"), "rdf:type", _term("ex:PT_", "p_type")),
-        _t(orders, ord_, "ex:placedBy", _term("ex:cust", "o_custkey")),
-        _t(orders, ord_, "ex:priority",
-           _term("ex:pr_", F.substring("o_orderpriority", 1, 1))),
-        _t(orders.where(F.col("o_orderstatus") == "F"), ord_, "rdf:type", F.lit("ex:FilledOrder")),
-        _t(orders.where(F.col("o_orderstatus") == "O"), ord_, "rdf:type", F.lit("ex:OpenOrder")),
+        _many(orders,
+              (ord_, "ex:placedBy", _term("ex:cust", "o_custkey"), None),
+              (ord_, "ex:priority", _term("ex:pr_", F.substring("o_orderpriority", 1, 1)), None),
+              (ord_, "rdf:type", F.lit("ex:FilledOrder"), status == "F"),
+              (ord_, "rdf:type", F.lit("ex:OpenOrder"), status == "O")),
         _t(lineitem, _term("ex:ord", "l_orderkey"), "ex:hasPart", _term("ex:part", "l_partkey")),
         _t(next_line, _term("ex:part", F.col("a.l_partkey").cast("string")), "ex:boughtWith",
            _term("ex:part", F.col("b.l_partkey").cast("string"))),
         _t(conv.where(F.col("turn") > 0),
            _term("ex:conv", "conv_id", F.lit("_"), "turn"), "ex:replyTo",
            _term("ex:conv", "conv_id", F.lit("_"), (F.col("turn") - 1).cast("string"))),
-        _t(docs, _term("ex:doc", "doc_id"), "ex:textHash", _term("ex:h", digest)),
-        _t(docs, _term("ex:h", digest), "ex:firstDoc", _term("ex:doc", "doc_id")),
-        _t(docs, _term("ex:doc", "doc_id"), "ex:source", _term("ex:", "source")),
+        _many(digest,
+              (doc, "ex:textHash", F.col("h"), None),
+              (F.col("h"), "ex:firstDoc", doc, None),
+              (doc, "ex:source", _term("ex:", "source"), None)),
     ])
 
 
