@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from entailer.functions import vocab as V
 from entailer.operators.fixpoint import FactStore, fresh, is_empty, new_facts
 from entailer.operators.graph import as_triples, properties_of_kind, relation
-from entailer.operators.joins import measure
+from entailer.operators.joins import join_small, measure
 
 
 def _compose(left: DataFrame, right: DataFrame, keys: list[str],
@@ -88,7 +88,7 @@ def owl4(facts: DataFrame, transitive_props: DataFrame) -> DataFrame:
     ``transitive_props`` has one column ``prop``.
     """
     props = transitive_props.select(F.col("prop").alias("p"))
-    edges = facts.join(measure(props).side(), "p", "left_semi")
+    edges = join_small(facts, props, ["p"], "left_semi")
     closed = transitive_closure(edges, keys=["p"], method="doubling")
     return closed.select("s", "p", "o")
 

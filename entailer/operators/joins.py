@@ -2,10 +2,12 @@
 
 Rule joins pair the large instance data (ABox) with small schema-derived
 relations (TBox). The natural join keys (predicate, class) have few distinct
-values, so a shuffle join on them would put a whole predicate such as
+values, so a plain shuffle join on them would put a whole predicate such as
 ``rdf:type`` into a single task. The TBox side is therefore broadcast -- but
-only after its size has been measured; beyond the bound the join falls back to
-a shuffle join, where AQE's skew-join handling splits hot partitions.
+only after its size has been measured. Beyond the bound the join is *salted*:
+each instance row gets a deterministic salt (a hash of the row, so task
+retries see the same value) and the schema side is replicated once per salt,
+which spreads every hot key over ``entailer.salt.buckets`` tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+DEFAULT_SALT_BUCKETS = 32
 ROW_OVERHEAD_BYTES = 48
 
 
@@ -31,6 +34,10 @@ class Sized:
     def side(self) -> DataFrame:
         return F.broadcast(self.df) if self.broadcast else self.df
 
+    def map(self, fn) -> "Sized":
+        """The same relation re-projected (renames keep the measured size)."""
+        return Sized(fn(self.df), self.rows, self.bytes, self.broadcast)
+
 
 def max_broadcast_bytes(df: DataFrame) -> int:
     conf = df.sparkSession.conf.get("entailer.broadcast.maxBytes", None)
@@ -46,12 +53,30 @@ def measure(df: DataFrame) -> Sized:
     return Sized(df, rows, size, size <= max_broadcast_bytes(df))
 
 
+def salt_buckets(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("entailer.salt.buckets", None)
+    return int(conf) if conf else DEFAULT_SALT_BUCKETS
+
+
+def join_small(big: DataFrame, small: "Sized | DataFrame", on: list[str],
+               how: str = "inner") -> DataFrame:
+    """Join instance data with a schema relation keyed on low-cardinality columns.
+
+    Broadcast when the measured size allows, otherwise a salted shuffle join
+    (``how`` is ``inner`` or ``left_semi``; both keep exact semantics because
+    each instance row meets exactly one copy of each matching schema row).
+    """
+    sz = small if isinstance(small, Sized) else measure(small)
+    if sz.broadcast:
+        return big.join(F.broadcast(sz.df), on, how)
+    n = salt_buckets(big)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(n)))
+    copies = sz.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return salted.join(copies, on + ["_salt"], how).drop("_salt")
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint iff its measured size is within the bound."""
     return measure(df).side()
 
 
-def prune_by_predicate(triples: DataFrame, props: DataFrame, col: str = "p") -> DataFrame:
-    """Keep triples whose predicate is in ``props`` (one column ``prop``)."""
-    keys = props.select(F.col("prop").alias(col)).distinct()
-    return triples.join(small_side(keys), on=col, how="left_semi")

@@ -1,7 +1,8 @@
 """OWL-Horst (pD*) rules 1, 2, 3, 8, 14a, 14b, 15, 16.
 
 All rules are equi-joins. Schema sides (property sets, inverse pairs,
-restrictions) are broadcast after a size check; the joins between two
+restrictions) are broadcast after a size check and salted beyond it (see
+:func:`joins.join_small`); the joins between two
 instance-sized inputs (OWL 15/16 and the grouping in OWL 1/2) are shuffle
 joins whose hot keys AQE's skew-join handling splits.
 
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
-from entailer.operators.rules_rdfs import SchemaSide, _out, side, sized
+from entailer.operators.joins import join_small
+from entailer.operators.rules_rdfs import SchemaSide, _out, renamed
 
 
 def prune(facts: DataFrame, props: SchemaSide) -> DataFrame:
     """Keep facts whose predicate is in the property set ``props(prop)``."""
-    keys = side(props).select(F.col("prop").alias("p"))
-    return facts.join(keys, "p", "left_semi")
+    return join_small(facts, renamed(props, ("prop", "p")), ["p"], "left_semi")
 
 
 def _star(facts: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -64,24 +65,24 @@ def owl8(facts: DataFrame, inverses: SchemaSide, distinct: bool = True) -> DataF
     ``inverses`` is ``(prop, inv)`` from :func:`graph.inverse_pairs`; every
     inverse of a property is used, not just one.
     """
-    inv = side(inverses).select(F.col("prop").alias("p"), "inv")
-    out = facts.join(inv, "p").select(
+    inv = renamed(inverses, ("prop", "p"), ("inv", "inv"))
+    out = join_small(facts, inv, ["p"]).select(
         F.col("o").alias("s"), F.col("inv").alias("p"), F.col("s").alias("o"))
     return _out(out, distinct)
 
 
 def owl14a(facts: DataFrame, has_value: SchemaSide, distinct: bool = True) -> DataFrame:
     """``v hasValue w, v onProperty p, u p w => u rdf:type v``."""
-    hv = side(has_value).select(F.col("prop").alias("p"), F.col("filler").alias("o"), "v")
-    out = facts.join(hv, ["p", "o"]).select(
+    hv = renamed(has_value, ("prop", "p"), ("filler", "o"), ("v", "v"))
+    out = join_small(facts, hv, ["p", "o"]).select(
         "s", F.lit(V.RDF_TYPE).alias("p"), F.col("v").alias("o"))
     return _out(out, distinct)
 
 
 def owl14b(types: DataFrame, has_value: SchemaSide, distinct: bool = True) -> DataFrame:
     """``v hasValue w, v onProperty p, u rdf:type v => u p w``."""
-    hv = side(has_value).select(F.col("v").alias("cls"), "prop", "filler")
-    out = types.join(hv, "cls").select(
+    hv = renamed(has_value, ("v", "cls"), ("prop", "prop"), ("filler", "filler"))
+    out = join_small(types, hv, ["cls"]).select(
         "s", F.col("prop").alias("p"), F.col("filler").alias("o"))
     return _out(out, distinct)
 
@@ -93,11 +94,9 @@ def owl15(facts: DataFrame, types: DataFrame, some: SchemaSide,
     First the (broadcast) restrictions select the typed individuals ``x`` that
     can fill one, then those meet the triples on ``(x, p)``.
     """
-    rs = sized(some)
-    fillers = types.join(
-        rs.side().select(F.col("filler").alias("cls"), "prop", "v"), "cls"
-    ).select(F.col("s").alias("x"), "prop", "v")
-    edges = prune(facts, rs).select(
+    fillers = join_small(types, renamed(some, ("filler", "cls"), ("prop", "prop"), ("v", "v")),
+                         ["cls"]).select(F.col("s").alias("x"), "prop", "v")
+    edges = prune(facts, some).select(
         F.col("o").alias("x"), F.col("p").alias("prop"), F.col("s").alias("u"))
     out = edges.join(fillers, ["x", "prop"]).select(
         F.col("u").alias("s"), F.lit(V.RDF_TYPE).alias("p"), F.col("v").alias("o"))
@@ -107,11 +106,9 @@ def owl15(facts: DataFrame, types: DataFrame, some: SchemaSide,
 def owl16(facts: DataFrame, types: DataFrame, all_: SchemaSide,
           distinct: bool = True) -> DataFrame:
     """``v allValuesFrom w, v onProperty p, u rdf:type v, u p x => x rdf:type w``."""
-    rs = sized(all_)
-    members = types.join(
-        rs.side().select(F.col("v").alias("cls"), "prop", F.col("filler").alias("w")), "cls"
-    ).select(F.col("s").alias("u"), "prop", "w")
-    edges = prune(facts, rs).select(
+    members = join_small(types, renamed(all_, ("v", "cls"), ("prop", "prop"), ("filler", "w")),
+                         ["cls"]).select(F.col("s").alias("u"), "prop", "w")
+    edges = prune(facts, all_).select(
         F.col("s").alias("u"), F.col("p").alias("prop"), F.col("o").alias("x"))
     out = edges.join(members, ["u", "prop"]).select(
         F.col("x").alias("s"), F.lit(V.RDF_TYPE).alias("p"), F.col("w").alias("o"))

@@ -1,8 +1,9 @@
 """RDFS entailment rules 2, 3, 7 and 9 (J1-J4) as DataFrame joins.
 
 Every rule joins instance facts with a schema relation on a low-cardinality
-key (a predicate or a class). The schema side is broadcast after a size check
-(``joins.Sized``), so the instance side is never shuffled on that hot key.
+key (a predicate or a class) through :func:`joins.join_small`: broadcast after
+a size check, salted beyond it, so the instance side is never shuffled on a
+hot key.
 
 Each rule returns candidate triples ``(s, p, o)``; ``distinct=True`` (the
 default for direct use) removes duplicates, the fixpoint driver instead
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
-from entailer.operators.joins import Sized, measure
+from entailer.operators.joins import Sized, join_small, measure
 
 SchemaSide = DataFrame | Sized
 
@@ -24,9 +25,9 @@ def sized(rel: SchemaSide) -> Sized:
     return rel if isinstance(rel, Sized) else measure(rel)
 
 
-def side(rel: SchemaSide) -> DataFrame:
-    """The join side for a schema relation, broadcast iff its size allows."""
-    return sized(rel).side()
+def renamed(rel: SchemaSide, *cols) -> Sized:
+    """``rel`` measured once and re-projected with ``(old, new)`` renames."""
+    return sized(rel).map(lambda d: d.select(*[F.col(a).alias(b) for a, b in cols]))
 
 
 def _out(df: DataFrame, distinct: bool) -> DataFrame:
@@ -35,24 +36,24 @@ def _out(df: DataFrame, distinct: bool) -> DataFrame:
 
 def rdfs2(facts: DataFrame, domain: SchemaSide, distinct: bool = True) -> DataFrame:
     """``p rdfs:domain x, s p o => s rdf:type x``. ``domain`` is ``(s=p, o=x)``."""
-    d = side(domain).select(F.col("s").alias("p"), F.col("o").alias("cls"))
-    out = facts.select("s", "p").join(d, "p").select(
+    d = renamed(domain, ("s", "p"), ("o", "cls"))
+    out = join_small(facts.select("s", "p"), d, ["p"]).select(
         "s", F.lit(V.RDF_TYPE).alias("p"), F.col("cls").alias("o"))
     return _out(out, distinct)
 
 
 def rdfs3(facts: DataFrame, range_: SchemaSide, distinct: bool = True) -> DataFrame:
     """``p rdfs:range x, s p o => o rdf:type x``."""
-    r = side(range_).select(F.col("s").alias("p"), F.col("o").alias("cls"))
-    out = facts.select("p", "o").join(r, "p").select(
+    r = renamed(range_, ("s", "p"), ("o", "cls"))
+    out = join_small(facts.select("p", "o"), r, ["p"]).select(
         F.col("o").alias("s"), F.lit(V.RDF_TYPE).alias("p"), F.col("cls").alias("o"))
     return _out(out, distinct)
 
 
 def rdfs7(facts: DataFrame, subprop: SchemaSide, distinct: bool = True) -> DataFrame:
     """``s p o, p rdfs:subPropertyOf q => s q o`` (``subprop`` closed or not)."""
-    sp = side(subprop).select(F.col("s").alias("p"), F.col("o").alias("q"))
-    out = facts.join(sp, "p").select("s", F.col("q").alias("p"), "o")
+    sp = renamed(subprop, ("s", "p"), ("o", "q"))
+    out = join_small(facts, sp, ["p"]).select("s", F.col("q").alias("p"), "o")
     return _out(out, distinct)
 
 
@@ -61,7 +62,7 @@ def rdfs9(types: DataFrame, subclass: SchemaSide, distinct: bool = True) -> Data
 
     ``types`` is ``(s, cls)``; ``subclass`` is ``(s=v, o=w)``.
     """
-    sc = side(subclass).select(F.col("s").alias("cls"), F.col("o").alias("sup"))
-    out = types.join(sc, "cls").select(
+    sc = renamed(subclass, ("s", "cls"), ("o", "sup"))
+    out = join_small(types, sc, ["cls"]).select(
         "s", F.lit(V.RDF_TYPE).alias("p"), F.col("sup").alias("o"))
     return _out(out, distinct)

@@ -102,3 +102,19 @@ def test_owl_transitive_and_clusters_modes(spark):
     assert ("d2", "<http://www.w3.org/2002/07/owl#sameAs>", "d1") in out
     assert ("d1", "ex:src", "web") in out  # OWL 11 canonical rewrite
     assert ("a", "ex:next", "c") not in rows(materialize_owl(g).abox)
+
+
+def test_salted_fallback_equals_broadcast(spark):
+    """With the broadcast bound at 0 every schema join is salted; same results."""
+    from entailer.plans.materialize import materialize_rdfs
+
+    g = _tiny_owl_graph(spark)
+    want_owl, want_rdfs = rows(materialize_owl(g).abox), rows(materialize_rdfs(g).abox)
+    spark.conf.set("entailer.broadcast.maxBytes", "0")
+    spark.conf.set("entailer.salt.buckets", "3")
+    try:
+        assert rows(materialize_owl(g).abox) == want_owl
+        assert rows(materialize_rdfs(g).abox) == want_rdfs
+    finally:
+        spark.conf.unset("entailer.broadcast.maxBytes")
+        spark.conf.unset("entailer.salt.buckets")
