@@ -177,6 +177,18 @@ def materialize_owl_q(spark, sf_dir):
     return materialize_owl(derived_graph(spark, sf_dir)).abox
 
 
+def owl7_links(spark, sf_dir):
+    return S.cluster_links(_clusters(spark, sf_dir)[1])
+
+
+def materialize_owl_transitive(spark, sf_dir):
+    return materialize_owl(derived_graph(spark, sf_dir), transitive=True).abox
+
+
+def materialize_owl_clusters(spark, sf_dir):
+    return materialize_owl(derived_graph(spark, sf_dir), same_as="clusters").abox
+
+
 def materialize_owl_schema(spark, sf_dir):
     return OwlSchema.of(derived_graph(spark, sf_dir).tbox).as_tbox()
 
@@ -201,6 +213,7 @@ QUERIES: dict[str, Query] = {
     "owl4": owl4,
     "owl7_clusters": owl7_clusters,
     "cluster_members": cluster_members,
+    "owl7_links": owl7_links,
     "owl8": owl8,
     "owl11": owl11,
     "owl14a": owl14a,
@@ -211,5 +224,7 @@ QUERIES: dict[str, Query] = {
     "materialize_rdfs_all": materialize_rdfs_all,
     "materialize_rdfs_schema": materialize_rdfs_schema,
     "materialize_owl": materialize_owl_q,
+    "materialize_owl_transitive": materialize_owl_transitive,
+    "materialize_owl_clusters": materialize_owl_clusters,
     "materialize_owl_schema": materialize_owl_schema,
 }

@@ -123,8 +123,10 @@ def _links(f: str) -> str:
     return _links_fp(f) + "\nUNION\n" + _links_ifp(f)
 
 
-def _rules(f: str) -> str:
+def _rules(f: str, transitive: bool = False) -> str:
     """Every RDFS/OWL rule of the fixpoint applied once to fact table ``f``."""
+    trans = (f"\nUNION ALL SELECT a.s, a.p, b.o FROM {f} a JOIN {f} b ON a.p = b.p AND a.o = b.s "
+             "WHERE a.p IN (SELECT prop FROM trp)") if transitive else ""
     return f"""
 SELECT x.s, sp.o AS p, x.o FROM {f} x JOIN sp ON x.p = sp.s
 UNION ALL SELECT x.s, '{TYPE}', d.o FROM {f} x JOIN dom d ON x.p = d.s
@@ -137,7 +139,7 @@ UNION ALL SELECT x.s, h.prop, h.filler FROM {f} x JOIN hv h ON x.p = '{TYPE}' AN
 UNION ALL SELECT e.s, '{TYPE}', r.v FROM {f} e JOIN svf r ON e.p = r.prop
   JOIN {f} t ON t.p = '{TYPE}' AND t.s = e.o AND t.o = r.filler
 UNION ALL SELECT e.o, '{TYPE}', r.filler FROM {f} e JOIN avf r ON e.p = r.prop
-  JOIN {f} t ON t.p = '{TYPE}' AND t.s = e.s AND t.o = r.v"""
+  JOIN {f} t ON t.p = '{TYPE}' AND t.s = e.s AND t.o = r.v""" + trans
 
 
 def _clusters_ctes() -> tuple[str, ...]:
@@ -151,14 +153,26 @@ def _clusters_ctes() -> tuple[str, ...]:
     )
 
 
-def _owl_rounds() -> tuple[str, ...]:
+def _owl_rounds(transitive: bool = False) -> tuple[str, ...]:
     ctes = ["f0 AS MATERIALIZED (SELECT s, p, o FROM abox)"]
     for i in range(1, OWL_ROUNDS + 1):
         ctes.append(f"f{i} AS MATERIALIZED (SELECT s, p, o FROM f{i - 1} UNION "
-                    f"SELECT * FROM ({_rules(f'f{i - 1}')}) r)")
+                    f"SELECT * FROM ({_rules(f'f{i - 1}', transitive)}) r)")
     return tuple(ctes)
 
 
+def _clusters_over(f: str) -> tuple[str, ...]:
+    """Connected components (member, id) of the sameAs facts of ``f`` plus its OWL 1/2 links."""
+    return (
+        f"flnk AS ({_links(f)} UNION SELECT s, p, o FROM {f} WHERE p = '{SAME}')",
+        "fund(a, b) AS (SELECT s, o FROM flnk WHERE s <> o UNION SELECT o, s FROM flnk WHERE s <> o)",
+        "freach(a, b) AS (SELECT a, b FROM fund UNION "
+        "SELECT r.a, u.b FROM freach r JOIN fund u ON r.b = u.a)",
+        "fcl AS (SELECT member, id FROM (SELECT a AS member, min(b) AS id FROM "
+        "(SELECT a, b FROM freach UNION SELECT a, a FROM fund) GROUP BY a) c WHERE member <> id)",
+    )
+
+
 def _single(rule_sql: str) -> str:
     return _prelude() + f"\nSELECT DISTINCT s, p, o FROM ({rule_sql}) q"
 
@@ -196,6 +210,8 @@ def oracle_sql() -> dict[str, str]:
     cl = _with(*_clusters_ctes())
     rounds = _with(*_owl_rounds())
     last = f"f{OWL_ROUNDS}"
+    trounds = _with(*_owl_rounds(transitive=True))
+    fcl = _with(*_clusters_over(last))
     return {
         "normalise_vocab": P + f"\n{graph}",
         "split_tbox": P + f"\nSELECT * FROM ({graph}) g WHERE {IS_SCHEMA}",
@@ -247,6 +263,13 @@ SELECT s, p, o FROM tbox WHERE {IS_SCHEMA}
 UNION SELECT s, '{V.RDFS_SUBCLASS_OF}', o FROM sc
 UNION SELECT s, '{V.RDFS_SUBPROPERTY_OF}', o FROM sp""",
         "materialize_owl": P + rounds + f"\nSELECT s, p, o FROM {last} UNION {_links(last)}",
+        "owl7_links": P + cl + f"\nSELECT member AS s, '{SAME}' AS p, id AS o FROM cl",
+        "materialize_owl_transitive": P + trounds + f"\nSELECT s, p, o FROM {last} UNION {_links(last)}",
+        "materialize_owl_clusters": P + rounds + fcl + f"""
+SELECT s, p, o FROM {last}
+UNION SELECT member, '{SAME}', id FROM fcl
+UNION SELECT coalesce(a.id, t.s), t.p, coalesce(b.id, t.o) FROM {last} t
+  LEFT JOIN fcl a ON a.member = t.s LEFT JOIN fcl b ON b.member = t.o WHERE t.p <> '{SAME}'""",
         "materialize_owl_schema": P + f"""
 SELECT s, p, o FROM tbox WHERE {IS_SCHEMA}
 UNION SELECT s, '{V.RDFS_SUBCLASS_OF}', o FROM sc
