@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and predicate pruning.
+"""Join helpers: size-checked broadcast with a salted fallback.
 
 Rule joins pair the large instance data (ABox) with small schema-derived
 relations (TBox). The natural join keys (predicate, class) have few distinct
@@ -75,8 +75,3 @@ def join_small(big: DataFrame, small: "Sized | DataFrame", on: list[str],
     return salted.join(copies, on + ["_salt"], how).drop("_salt")
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint iff its measured size is within the bound."""
-    return measure(df).side()
-
-

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
 from entailer.operators.fixpoint import fresh, is_empty, pin
-
-
+from entailer.operators.joins import measure
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -33,7 +32,8 @@ def _oriented(pairs: DataFrame) -> DataFrame:
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to the smallest node of its neighbourhood."""
-    both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
+    both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
+        e.select(F.col("v").alias("x"), F.col("u").alias("y")))
     low = both.groupBy("x").agg(F.min("y").alias("mn"))
     low = low.select("x", F.least("mn", "x").alias("mn"))
     return (both.join(low, "x").where(F.col("y") > F.col("x"))
@@ -101,10 +101,12 @@ def canonicalise(facts: DataFrame, clusters: DataFrame) -> DataFrame:
     """J14 (OWL 11, canonical form): replace subject and object by their cluster id.
 
     Terms outside every cluster stand for themselves. The member table is
-    joined twice (left joins on the term), never expanded per cluster.
+    joined twice (left joins on the term, broadcast when its measured size
+    allows), never expanded per cluster.
     """
-    cs = fresh(clusters, "s", "sid")
-    co = fresh(clusters, "o", "oid")
+    sized = measure(clusters)
+    cs = sized.map(lambda c: fresh(c, "s", "sid")).side()
+    co = sized.map(lambda c: fresh(c, "o", "oid")).side()
     t = facts.where(F.col("p") != V.OWL_SAME_AS)
     return (t.join(cs, "s", "left").join(co, "o", "left")
             .select(F.coalesce("sid", "s").alias("s"), "p",
