@@ -12,6 +12,7 @@ which spreads every hot key over ``entailer.salt.buckets`` tasks.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -44,13 +45,29 @@ def max_broadcast_bytes(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_MAX_BYTES
 
 
+def _width(df: DataFrame):
+    return sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in df.columns), F.lit(0))
+
+
 def measure(df: DataFrame) -> Sized:
     """Count rows and string bytes of ``df`` in one aggregation job."""
-    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in df.columns), F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    rows = int(row["n"])
-    size = int(row["b"] or 0) + rows * ROW_OVERHEAD_BYTES
-    return Sized(df, rows, size, size <= max_broadcast_bytes(df))
+    return measure_many([df])[0]
+
+
+def measure_many(frames: list[DataFrame]) -> list[Sized]:
+    """Measure several frames with one job (a tagged union, grouped by tag)."""
+    tagged = [f.select(F.lit(i).alias("_i"), _width(f).alias("_w")) for i, f in enumerate(frames)]
+    union = tagged[0]
+    for t in tagged[1:]:
+        union = union.unionByName(t)
+    got = {r["_i"]: (int(r["n"]), int(r["b"] or 0)) for r in union.groupBy("_i").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_w").alias("b")).collect()}
+    out = []
+    for i, f in enumerate(frames):
+        rows, size = got.get(i, (0, 0))
+        size += rows * ROW_OVERHEAD_BYTES
+        out.append(Sized(f, rows, size, size <= max_broadcast_bytes(f)))
+    return out
 
 
 def salt_buckets(df: DataFrame) -> int:
@@ -75,3 +92,42 @@ def join_small(big: DataFrame, small: "Sized | DataFrame", on: list[str],
     return salted.join(copies, on + ["_salt"], how).drop("_salt")
 
 
+
+
+def pin_bundle(frames: dict[str, DataFrame]) -> dict[str, Sized]:
+    """Pin several schema relations with one write, measure them with one job.
+
+    The relations are stored together as parquet in the checkpoint folder,
+    partitioned by relation name (each is then read back with partition
+    pruning), and sized by one grouped aggregation: a handful of rows, one
+    per relation, reaches the driver.
+    """
+    from entailer.operators.fixpoint import ensure_checkpoint_dir
+
+    spark = next(iter(frames.values())).sparkSession
+    width = max(len(df.columns) for df in frames.values())
+    slots = [f"c{i}" for i in range(width)]
+    parts = []
+    for name, df in frames.items():
+        cols = [F.col(c).cast("string").alias(slots[i]) for i, c in enumerate(df.columns)]
+        pad = [F.lit(None).cast("string").alias(s) for s in slots[len(df.columns):]]
+        parts.append(df.select(*cols, *pad, F.lit(name).alias("rel")))
+    bundle = parts[0]
+    for p in parts[1:]:
+        bundle = bundle.unionByName(p)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/schema-" + uuid.uuid4().hex
+    bundle.write.partitionBy("rel").parquet(path)
+    schema = ", ".join(f"{s} string" for s in slots) + ", rel string"
+    stored = spark.read.schema(schema).parquet(path)
+    width_expr = sum((F.coalesce(F.octet_length(F.col(s)), F.lit(0)) for s in slots), F.lit(0))
+    sizes = {r["rel"]: (int(r["n"]), int(r["b"] or 0)) for r in stored.groupBy("rel").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(width_expr).alias("b")).collect()}
+    limit = max_broadcast_bytes(stored)
+    out = {}
+    for name, df in frames.items():
+        rel = stored.where(F.col("rel") == name).select(
+            *[F.col(slots[i]).alias(c) for i, c in enumerate(df.columns)])
+        rows, size = sizes.get(name, (0, 0))
+        size += rows * ROW_OVERHEAD_BYTES
+        out[name] = Sized(rel, rows, size, size <= limit)
+    return out
