@@ -50,7 +50,7 @@ def transitive_closure(edges: DataFrame, keys: Sequence[str] = (),
     keys = list(keys)
     cols = keys + ["s", "o"]
     store = FactStore(edges.sparkSession, cols)
-    base = store.add(edges.select(*cols).distinct())
+    base = store.add(edges.select(*cols).dropna().distinct())
     delta = base
     small_edges = method == "linear" and measure(base).broadcast
     while max_rounds is None or store.rounds <= max_rounds:

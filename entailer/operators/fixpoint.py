@@ -83,6 +83,11 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+def _shuffle_partitions(spark: SparkSession) -> int:
+    value = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    return int(value) if value.isdigit() else spark.sparkContext.defaultParallelism
+
+
 class FactStore:
     """The growing fact set of a fixpoint, as a table in the checkpoint folder.
 
@@ -101,7 +106,7 @@ class FactStore:
         self.cols = list(cols)
         self.name = "entailer_facts_" + uuid.uuid4().hex
         self.path = ensure_checkpoint_dir(spark).rstrip("/") + "/" + self.name
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or _shuffle_partitions(spark)
         self.rounds = 0
 
     def add(self, df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from entailer.operators.joins import measure
 def _oriented(pairs: DataFrame) -> DataFrame:
     """Undirected edges as ``(u, v)`` with ``u > v``; self loops dropped."""
     a, b = F.col("a"), F.col("b")
-    return (pairs.where(a != b)
+    return (pairs.dropna().where(a != b)
             .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
 
 

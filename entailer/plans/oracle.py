@@ -51,7 +51,8 @@ select * from (values
 
 def _norm(src: str) -> str:
     return (f"SELECT DISTINCT {expand_curie_sql('s')} AS s, {expand_curie_sql('p')} AS p, "
-            f"{expand_curie_sql('o')} AS o FROM {src}")
+            f"{expand_curie_sql('o')} AS o FROM {src} "
+            "WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
 
 
 def _kind(cls: str) -> str:

@@ -35,7 +35,7 @@ def parse_lines(lines: DataFrame, fmt: str = "tokens") -> tuple[DataFrame, DataF
         parsed = lines.select(v, F.get(parts, 0).alias("s"), F.get(parts, 1).alias("p"),
                               F.get(parts, 2).alias("o"))
     elif fmt == "nt":
-        lines = lines.where(~F.ltrim(v).startswith("#") | (F.trim(v) == ""))
+        lines = lines.where(~F.ltrim(v).startswith("#"))  # N-Triples comments
         parsed = lines.select(v, *[F.regexp_extract(v, NT_LINE, i + 1).alias(c)
                                    for i, c in enumerate(TRIPLE_COLS)])
     else:
@@ -50,7 +50,7 @@ def read_triples(spark: SparkSession, paths: str | Sequence[str], fmt: str = "to
     """Read triples from text (``tokens``/``nt``) or ``parquet``."""
     paths = _paths(paths)
     if fmt == "parquet":
-        triples = spark.read.parquet(*paths).select(*TRIPLE_COLS)
+        triples = spark.read.parquet(*paths).select(*TRIPLE_COLS).dropna()
         rejects = spark.createDataFrame([], "value string")
     else:
         triples, rejects = parse_lines(spark.read.text(paths), fmt)
@@ -63,7 +63,9 @@ def normalise_vocab(triples: DataFrame) -> DataFrame:
 
 
 def prepare(triples: DataFrame, normalise: bool = True, distinct: bool = True) -> DataFrame:
+    """Ingest: expand CURIEs, drop incomplete (null) triples, deduplicate."""
     out = normalise_vocab(triples) if normalise else triples
+    out = out.dropna()
     return out.dropDuplicates() if distinct else out
 
 

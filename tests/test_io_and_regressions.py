@@ -124,3 +124,11 @@ def test_rdfs_one_pass_outputs(spark):
     assert derived <= every and rows(g.abox) <= every
     sc = rows(relation(materialize_rdfs(g).tbox, V.RDFS_SUBCLASS_OF))
     assert ("ex:EcoOrder", "ex:Discount") in sc
+
+
+def test_null_triples_are_dropped_and_fixpoint_terminates(spark):
+    abox = spark.createDataFrame([("a", "ex:p", None), (None, "ex:p", "b"), ("a", "ex:p", "b")],
+                                 "s string, p string, o string")
+    tbox = spark.createDataFrame([("ex:p", V.RDFS_DOMAIN, "ex:C")], "s string, p string, o string")
+    out = rows(materialize_owl(Graph(abox=abox, tbox=tbox)).abox)
+    assert out == {("a", "ex:p", "b"), ("a", TYPE, "ex:C")}

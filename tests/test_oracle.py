@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 FAST = ["normalise_vocab", "split_tbox", "restrictions", "rdfs2", "rdfs7", "rdfs9", "rdfs11",
-        "owl1", "owl3", "owl4", "owl7_clusters", "owl8", "owl11", "owl14a", "owl14b", "owl15",
+        "owl1", "owl3", "owl4", "owl7_clusters", "owl7_links", "owl8", "owl11", "owl14a", "owl14b", "owl15",
         "owl16", "new_facts", "materialize_rdfs_derived", "materialize_owl"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
