@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
-from entailer.operators.fixpoint import FactStore, fresh, is_empty, new_facts
+from entailer.operators.fixpoint import FactStore, PinnedParts, fresh, is_empty, new_facts, pin
 from entailer.operators.graph import as_triples, properties_of_kind, relation
 from entailer.operators.joins import join_small, measure
 
@@ -44,20 +44,28 @@ def transitive_closure(edges: DataFrame, keys: Sequence[str] = (),
     ``doubling``: new paths = delta . known and previous . delta (path lengths
     double per round, so ``log2(longest path)`` rounds; both sides
     instance-sized). Reflexive pairs appear only through cycles. Input
-    duplicates are irrelevant: the state is a set, kept in a bucketed
-    :class:`FactStore` so the known paths are never re-shuffled.
+    duplicates are irrelevant: the state is a set. Instance-sized edge sets
+    keep it in a bucketed :class:`FactStore` (known paths are never
+    re-shuffled); schema-sized ones (measured under the broadcast bound) in
+    :class:`PinnedParts`, which skips the bucketing overhead.
     """
     keys = list(keys)
     cols = keys + ["s", "o"]
-    store = FactStore(edges.sparkSession, cols)
-    base = store.add(edges.select(*cols).dropna().distinct())
+    edges = pin(edges.select(*cols).dropna().distinct())
+    small = measure(edges).broadcast
+    if small:
+        store = PinnedParts(edges.sparkSession, cols)
+        store.parts.append(edges)  # already pinned
+        base = edges
+    else:
+        store = FactStore(edges.sparkSession, cols)
+        base = store.add(edges)
     delta = base
-    small_edges = method == "linear" and measure(base).broadcast
     while max_rounds is None or store.rounds <= max_rounds:
         k = store.rounds - 1
         known = store.upto(k)
         if method == "linear":
-            cand = _compose(delta, base, keys, broadcast_right=small_edges)
+            cand = _compose(delta, base, keys, broadcast_right=small)
         elif method == "doubling":
             cand = _compose(delta, known, keys)
             if k > 0:

@@ -127,3 +127,29 @@ class FactStore:
 
     def all(self) -> DataFrame:
         return self.spark.table(self.name).select(*self.cols)
+
+
+class PinnedParts:
+    """Fixpoint state for schema-sized data: one pinned parquet table per round.
+
+    Same interface as :class:`FactStore` without the bucketing, which only
+    pays off when the known facts are too large to broadcast.
+    """
+
+    def __init__(self, spark: SparkSession, cols: Sequence[str] = ("s", "p", "o")):
+        self.cols = list(cols)
+        self.parts: list[DataFrame] = []
+
+    @property
+    def rounds(self) -> int:
+        return len(self.parts)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.parts.append(pin(df.select(*self.cols)))
+        return self.parts[-1]
+
+    def upto(self, k: int) -> DataFrame:
+        return union_all(self.parts[:k + 1])
+
+    def all(self) -> DataFrame:
+        return union_all(self.parts)
