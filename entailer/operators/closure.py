@@ -23,7 +23,7 @@ from entailer.operators.graph import as_triples, properties_of_kind, relation
 from entailer.operators.joins import join_small, measure
 
 
-def _compose(left: DataFrame, right: DataFrame, keys: list[str],
+def compose(left: DataFrame, right: DataFrame, keys: list[str],
              broadcast_right: bool = False) -> DataFrame:
     """Paths ``a -> m`` (left) followed by ``m -> b`` (right) give ``a -> b``."""
     lcols = keys + ["s", "o"]
@@ -65,11 +65,11 @@ def transitive_closure(edges: DataFrame, keys: Sequence[str] = (),
         k = store.rounds - 1
         known = store.upto(k)
         if method == "linear":
-            cand = _compose(delta, base, keys, broadcast_right=small)
+            cand = compose(delta, base, keys, broadcast_right=small)
         elif method == "doubling":
-            cand = _compose(delta, known, keys)
+            cand = compose(delta, known, keys)
             if k > 0:
-                cand = cand.unionByName(_compose(store.upto(k - 1), delta, keys))
+                cand = cand.unionByName(compose(store.upto(k - 1), delta, keys))
         else:
             raise ValueError(f"unknown closure method {method!r}")
         delta = store.add(new_facts(cand, known))

@@ -95,25 +95,36 @@ class FactStore:
     parquet table bucketed on the fact columns, with as many buckets as the
     session's shuffle partitions. Reading one round is a partition-pruned
     scan; reading everything known is a bucketed scan whose partitioning
-    already matches the ``left_anti`` join of :func:`new_facts`, so the known
-    facts are never shuffled again -- only the (smaller) candidates are.
+    already matches a join on the bucket columns (by default all columns, as
+    in the ``left_anti`` join of :func:`new_facts`), so the stored rows are
+    never shuffled again -- only the (smaller) other side is.
     Committed files survive the loss of the executors that wrote them.
     """
 
     def __init__(self, spark: SparkSession, cols: Sequence[str] = ("s", "p", "o"),
-                 buckets: int | None = None):
+                 buckets: int | None = None, bucket_cols: Sequence[str] | None = None):
         self.spark = spark
         self.cols = list(cols)
+        self.bucket_cols = list(bucket_cols or cols)
         self.name = "entailer_facts_" + uuid.uuid4().hex
         self.path = ensure_checkpoint_dir(spark).rstrip("/") + "/" + self.name
         self.buckets = buckets or _shuffle_partitions(spark)
         self.rounds = 0
 
-    def add(self, df: DataFrame) -> DataFrame:
-        """Append ``df`` as the next round; return that round, read back."""
+    def add(self, df: DataFrame, repartition: bool = False) -> DataFrame:
+        """Append ``df`` as the next round; return that round, read back.
+
+        A bucketed write has every task write one file per bucket it holds.
+        Rows already hash-partitioned on the bucket columns (such as the
+        output of :func:`new_facts`) give one file per bucket; anything else
+        should pass ``repartition=True`` to shuffle on the bucket columns
+        first, or a round could produce buckets x tasks files.
+        """
         k = self.rounds
+        if repartition:
+            df = df.repartition(self.buckets, *self.bucket_cols)
         (df.select(*self.cols).withColumn("rnd", F.lit(k)).write.mode("append")
-         .format("parquet").partitionBy("rnd").bucketBy(self.buckets, *self.cols)
+         .format("parquet").partitionBy("rnd").bucketBy(self.buckets, *self.bucket_cols)
          .option("path", self.path).saveAsTable(self.name))
         self.rounds += 1
         return self.where(F.col("rnd") == k)
