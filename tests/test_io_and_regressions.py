@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from conftest import rows, write_lines
 
 from entailer.functions import vocab as V
@@ -99,9 +100,16 @@ def _tiny_owl_graph(spark):
     return Graph(abox=normalise_vocab(abox), tbox=normalise_vocab(tbox))
 
 
-def test_owl_chains_reach_fixpoint(spark):
+@pytest.fixture(scope="module")
+def tiny_owl(spark):
+    """The tiny graph's OWL materialisation, computed once for the module."""
+    m = materialize_owl(_tiny_owl_graph(spark))
+    return rows(m.abox), rows(m.tbox)
+
+
+def test_owl_chains_reach_fixpoint(tiny_owl):
     """15 -> 9 -> 14b -> 7, domain on the inverse, 16 -> 9."""
-    out = rows(materialize_owl(_tiny_owl_graph(spark)).abox)
+    out = tiny_owl[0]
     for fact in [("o1", TYPE, "ex:EcoOrder"), ("o1", TYPE, "ex:Discount"),
                  ("o1", "ex:discounted", "ex:yes"), ("o1", "ex:flagged", "ex:yes"),
                  ("c1", "ex:placed", "o1"), ("c1", TYPE, "ex:Buyer"),
@@ -109,9 +117,9 @@ def test_owl_chains_reach_fixpoint(spark):
         assert fact in out, fact
 
 
-def test_owl_schema_output_keeps_ifp_class(spark):
+def test_owl_schema_output_keeps_ifp_class(tiny_owl):
     """Inverse-functional properties are written with their own class."""
-    tb = rows(materialize_owl(_tiny_owl_graph(spark)).tbox)
+    tb = tiny_owl[1]
     assert ("ex:key", TYPE, V.OWL_INVERSE_FUNCTIONAL_PROPERTY) in tb
     assert ("ex:placed", V.OWL_INVERSE_OF, "ex:placedBy") in tb
 
