@@ -18,7 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
-from entailer.operators.fixpoint import FactStore, PinnedParts, fresh, is_empty, new_facts, pin
+from entailer.operators.fixpoint import (
+    FactStore,
+    PinnedParts,
+    bucket_count,
+    fresh,
+    is_empty,
+    new_facts,
+    pin,
+)
 from entailer.operators.graph import as_triples, properties_of_kind, relation
 from entailer.operators.joins import join_small, measure
 
@@ -52,14 +60,16 @@ def transitive_closure(edges: DataFrame, keys: Sequence[str] = (),
     keys = list(keys)
     cols = keys + ["s", "o"]
     edges = pin(edges.select(*cols).dropna().distinct())
-    small = measure(edges).broadcast
+    size = measure(edges)
+    small = size.broadcast
     if small:
         store = PinnedParts(edges.sparkSession, cols)
         store.parts.append(edges)  # already pinned
         base = edges
     else:
-        store = FactStore(edges.sparkSession, cols)
-        base = store.add(edges)
+        spark = edges.sparkSession
+        store = FactStore(spark, cols, buckets=bucket_count(spark, size.bytes))
+        base = store.add(edges, repartition=True)
     delta = base
     while max_rounds is None or store.rounds <= max_rounds:
         k = store.rounds - 1

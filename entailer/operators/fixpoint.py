@@ -83,11 +83,28 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+DEFAULT_BUCKET_BYTES = 128 * 1024 * 1024
+
+
 def _shuffle_partitions(spark: SparkSession) -> int:
     value = spark.conf.get("spark.sql.shuffle.partitions", "200")
     return int(value) if value.isdigit() else spark.sparkContext.defaultParallelism
 
 
+def bucket_count(spark: SparkSession, size_bytes: int) -> int:
+    """Buckets for a fixpoint table whose first round holds ``size_bytes``.
+
+    About ``entailer.bucket.targetBytes`` (128 MiB) per bucket, capped at
+    ``spark.sql.shuffle.partitions``. On large inputs the cap applies, so the
+    buckets line up with the shuffle partitions of the joins against the
+    table and its side needs no exchange; small inputs get few buckets (few
+    tiny files and tasks) and ordinary shuffles, which cost little there.
+    """
+    conf = spark.conf.get("entailer.bucket.targetBytes", None)
+    target = int(conf) if conf else DEFAULT_BUCKET_BYTES
+    return max(1, min(_shuffle_partitions(spark), -(-size_bytes // target)))
+
+
 class FactStore:
     """The growing fact set of a fixpoint, as a table in the checkpoint folder.
 
@@ -109,6 +126,8 @@ class FactStore:
         self.name = "entailer_facts_" + uuid.uuid4().hex
         self.path = ensure_checkpoint_dir(spark).rstrip("/") + "/" + self.name
         self.buckets = buckets or _shuffle_partitions(spark)
+        # Shuffle outputs line up with the buckets only when the counts match.
+        self.aligned = self.buckets == _shuffle_partitions(spark)
         self.rounds = 0
 
     def add(self, df: DataFrame, repartition: bool = False) -> DataFrame:
@@ -116,12 +135,13 @@ class FactStore:
 
         A bucketed write has every task write one file per bucket it holds.
         Rows already hash-partitioned on the bucket columns (such as the
-        output of :func:`new_facts`) give one file per bucket; anything else
-        should pass ``repartition=True`` to shuffle on the bucket columns
-        first, or a round could produce buckets x tasks files.
+        output of :func:`new_facts`, when the bucket count equals the shuffle
+        partitions) give one file per bucket; anything else is shuffled on the
+        bucket columns first (``repartition=True``, automatic when the counts
+        differ), or a round could produce buckets x tasks files.
         """
         k = self.rounds
-        if repartition:
+        if repartition or not self.aligned:
             df = df.repartition(self.buckets, *self.bucket_cols)
         (df.select(*self.cols).withColumn("rnd", F.lit(k)).write.mode("append")
          .format("parquet").partitionBy("rnd").bucketBy(self.buckets, *self.bucket_cols)
