@@ -94,15 +94,17 @@ def _shuffle_partitions(spark: SparkSession) -> int:
 def bucket_count(spark: SparkSession, size_bytes: int) -> int:
     """Buckets for a fixpoint table whose first round holds ``size_bytes``.
 
-    About ``entailer.bucket.targetBytes`` (128 MiB) per bucket, capped at
-    ``spark.sql.shuffle.partitions``. On large inputs the cap applies, so the
+    About ``entailer.bucket.targetBytes`` (128 MiB) per bucket but at least
+    one per core, capped at ``spark.sql.shuffle.partitions``. On large inputs the cap applies, so the
     buckets line up with the shuffle partitions of the joins against the
     table and its side needs no exchange; small inputs get few buckets (few
     tiny files and tasks) and ordinary shuffles, which cost little there.
     """
     conf = spark.conf.get("entailer.bucket.targetBytes", None)
     target = int(conf) if conf else DEFAULT_BUCKET_BYTES
-    return max(1, min(_shuffle_partitions(spark), -(-size_bytes // target)))
+    # At least one bucket per core, so writes and scans stay parallel.
+    wanted = max(spark.sparkContext.defaultParallelism, -(-size_bytes // target))
+    return max(1, min(_shuffle_partitions(spark), wanted))
 
 
 class FactStore:
