@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entailer.operators.fixpoint import ensure_checkpoint_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -15,3 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, UPPER, UPPER.lower())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of the cluster."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers (once per context)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="entailer-")) / "entailer.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package available to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entailer.llm import chat, licenses, urls
+from entailer.llm import chat, licenses, repetition, urls
 
 
 def op3() -> str:
@@ -72,6 +72,38 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_b
 from docs left join per_base using (rid) left join per_doc using (rid)"""
 
 
+def op5() -> str:
+    # Words in k-word windows that occur twice or more in their text.
+    def repeated(k: int) -> str:
+        return f"""
+w{k} as (select rid, i, count(*) over (partition by rid, hash(list_slice(words, i, i + {k - 1}))) n
+  from (select rid, words, unnest(range(1, len(words) - {k - 2})) i from docs)),
+r{k} as (select rid, count(distinct i + j) n from w{k}, range({k}) t(j) where n > 1 group by rid)"""
+
+    limit, least = repetition.MAX_REPEAT + 1, repetition.MIN_REPEAT
+    return f"""
+with docs as (
+  select row_number() over () rid, doc_id, coalesce(text, '') t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') words from documents),
+lines as (
+  select rid, line, count(*) - 1 n from (select rid, unnest(string_split(t, chr(10))) line from docs)
+  where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by all),
+dup as (select rid, sum(n) n from lines group by rid),
+{repeated(repetition.WINDOW)}, {repeated(least)}, {repeated(limit)},
+counts as (
+  select doc_id, len(words)::bigint n_words, length(array_to_string(words, ''))::bigint word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+    coalesce(dup.n, 0)::bigint n_dup_lines, coalesce(a.n, 0)::bigint n_repeat_words,
+    coalesce(b.n, 0) covered, c.n is not null as long_repeat
+  from docs left join dup using (rid) left join r{repetition.WINDOW} a using (rid)
+  left join r{least} b using (rid) left join r{limit} c using (rid)),
+judged as (
+  select *, n_words < {repetition.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from counts)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and covered <= {repetition.MAX_COVERED} * n_words and not long_repeat as kept
+from judged"""
+
+
 def op8() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
     n, upper = urls.ORDER, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -125,5 +157,6 @@ left join scores on s = r.url cross join cut"""
 ORACLE_SQL = {
     "op3_chat_format": op3(),
     "op4_license_scan": op4(),
+    "op5_repetition_rules": op5(),
     "op8_url_filter": op8(),
 }

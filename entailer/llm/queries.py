@@ -3,16 +3,38 @@ table with production parameters and derives the digest columns."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from entailer.llm import chat, licenses, urls
-from entailer.llm.common import table
+from entailer.llm import bpe, chat, decontam, langid, licenses, repetition, simhash, tokenio, urls
+from entailer.llm.common import scratch, table
+
+VOCABULARY = "word_bpe_49k.json"
+END_ID = 1
 
 # A conversation whose texts hold the template's own control strings.
 CONTROL_CONVERSATION = -7
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
+def vocabulary():
+    return bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
+
+
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    profiles = langid.train_profiles(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), profiles, ["doc_id", "held_out"])
+
+
+def op2_token_shards(spark, sf_dir):
+    path = scratch(spark, "token-shards")
+    tokenio.write_ids(table(spark, sf_dir, "documents"), vocabulary(), END_ID, path)
+    return tokenio.read_ids(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -34,12 +56,46 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_repetition_rules(spark, sf_dir):
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
+def op6_bpe_round_trip(spark, sf_dir):
+    text = vocabulary()
+    ids = bpe.encode(table(spark, sf_dir, "documents"), text, ["doc_id"])
+    return bpe.decode(ids, text, ["doc_id", "ids"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_benchmark_leaks(spark, sf_dir):
+    """One row for each (document, benchmark item) found; other documents are clean."""
+    found = decontam.find_items(table(spark, sf_dir, "documents"),
+                                table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select("doc_id", F.inline("matches"))
+
+
 def op8_url_filter(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op9_simhash_near_copies(spark, sf_dir):
+    found = simhash.near_copies(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_token_shards": op2_token_shards,
     "op3_chat_format": op3_chat_format,
     "op4_license_scan": op4_license_scan,
+    "op5_repetition_rules": op5_repetition_rules,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_url_filter": op8_url_filter,
+    "op9_simhash_near_copies": op9_simhash_near_copies,
 }
