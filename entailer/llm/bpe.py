@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from entailer.llm.common import map_batches
+from entailer.llm.common import map_batches, schema_of
 from entailer.llm.words import SPACE, Words, ranges, sub_batches
 
 LONG = 256
@@ -332,7 +332,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
                     [*(sub.column(c) for c in keep), lists], names=[*keep, "ids"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c != "_text")
+    schema = schema_of(docs, keep)
     return map_batches(rows, run, schema + "ids array<int>")
 
 
@@ -353,5 +353,4 @@ def decode(encoded: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
                 [*(batch.column(c) for c in keep), texts.cast(pa.string())], names=[*keep, "decoded"])
 
     rows = encoded.select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("_ids"))
-    schema = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c != "_ids")
-    return map_batches(rows, run, schema + "decoded string")
+    return map_batches(rows, run, schema_of(encoded, keep) + "decoded string")

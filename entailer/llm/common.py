@@ -51,3 +51,19 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package available to the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def with_text(docs: DataFrame, keep: list[str], *more: Column) -> tuple[DataFrame, str]:
+    """Columns ``keep`` and ``more`` with the text as a string, and its column name.
+
+    The text is not carried twice where ``keep`` already holds it.
+    """
+    if "text" in keep and dict(docs.dtypes)["text"] == "string":
+        return docs.select(*keep, *more), "text"
+    return docs.select(*keep, F.col("text").cast("string").alias("_text"), *more), "_text"
+
+
+def schema_of(df: DataFrame, columns: list[str]) -> str:
+    """DDL of some columns, each followed by a comma."""
+    types = dict(df.dtypes)
+    return "".join(f"`{c}` {types[c]}, " for c in columns)

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entailer.llm.common import map_batches
+from entailer.llm.common import map_batches, schema_of, with_text
 from entailer.llm.words import NOT_ALNUM, U64, Words, mix, ranges, sub_batches
 
 MAX_EDIT = 0.2
@@ -258,25 +258,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFr
     ``matches`` lists, for every item found, its smallest edit distance in words
     and the first and last word of that place.
     """
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"),
-                       F.array().cast(MATCHES).alias("matches"))
-    columns = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c not in ("_text", "matches"))
-    schema = columns + "_text string, matches " + MATCHES
+    rows, text = with_text(docs, keep, F.array().cast(MATCHES).alias("matches"))
+    carried = list(dict.fromkeys([*keep, text]))
+    schema = schema_of(rows, carried) + "matches " + MATCHES
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                for sub in sub_batches(batch, "_text"):
+                for sub in sub_batches(batch, text):
                     old = sub.column("matches")
-                    new = find_matches(items, sub.column("_text"))
-                    if old.flatten():
+                    new = find_matches(items, sub.column(text))
+                    if len(old.flatten()):
                         new = [[*a, *b] for a, b in zip(old.to_pylist(), new)]
                     yield pa.RecordBatch.from_arrays(
-                        [*(sub.column(c) for c in keep), sub.column("_text"),
-                         pa.array(new, old.type)], names=[*keep, "_text", "matches"])
+                        [*(sub.column(c) for c in carried), pa.array(new, old.type)],
+                        names=[*carried, "matches"])
         return run
 
     for items in _blocks(benchmark):
         rows = map_batches(rows, search(docs.sparkSession.sparkContext.broadcast(items)), schema)
-    return rows.drop("_text")
+    return rows.select(*keep, "matches")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from entailer.llm.common import map_batches
+from entailer.llm.common import map_batches, schema_of
 from entailer.llm.words import sub_batches
 
 TOP = 300
@@ -213,5 +213,4 @@ def identify(docs: DataFrame, profiles: DataFrame, keep: list[str], top: int = T
                      pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text")
-    return map_batches(rows, predict, f"{schema}, lang_pred string, score double")
+    return map_batches(rows, predict, schema_of(docs, keep) + "lang_pred string, score double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entailer.llm import chat, licenses, repetition, urls
+from entailer.llm import chat, licenses, repetition, substrings, urls
 
 
 def op3() -> str:
@@ -154,9 +154,30 @@ from pages p left join ruled r on p.url is not distinct from r.url
 left join scores on s = r.url cross join cut"""
 
 
+def op10() -> str:
+    n = substrings.WINDOW
+    return f"""
+with docs as (
+  select row_number() over () rid, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') words from documents),
+windows as (
+  select rid, i, md5(array_to_string(list_slice(words, i, i + {n - 1}), ' ')) h
+  from (select rid, words, unnest(range(1, len(words) - {n - 2})) i from docs)),
+again as (select rid, i from windows join (select h from windows group by h having count(*) > 1) using (h)),
+gone as (select distinct rid, i + j as i from again, range({n}) t(j)),
+kept as (
+  select rid, string_agg(word, ' ' order by i) t, count(*) n
+  from (select rid, unnest(words) word, unnest(range(1, len(words) + 1)) i from docs)
+  anti join gone using (rid, i) group by rid)
+select doc_id, len(words)::bigint n_words, (len(words) - coalesce(n, 0))::bigint n_removed,
+  sha256(coalesce(t, '')) kept_sha256
+from docs left join kept using (rid)"""
+
+
 ORACLE_SQL = {
     "op3_chat_format": op3(),
     "op4_license_scan": op4(),
     "op5_repetition_rules": op5(),
     "op8_url_filter": op8(),
+    "op10_substring_dedup": op10(),
 }

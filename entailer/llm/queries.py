@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from entailer.llm import bpe, chat, decontam, langid, licenses, repetition, simhash, tokenio, urls
+from entailer.llm import bpe, chat, decontam, langid, licenses, repetition, simhash, substrings, tokenio, urls
 from entailer.llm.common import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -88,6 +88,11 @@ def op9_simhash_near_copies(spark, sf_dir):
                         "component_id")
 
 
+def op10_substring_dedup(spark, sf_dir):
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
@@ -98,4 +103,5 @@ QUERIES = {
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_url_filter": op8_url_filter,
     "op9_simhash_near_copies": op9_simhash_near_copies,
+    "op10_substring_dedup": op10_substring_dedup,
 }

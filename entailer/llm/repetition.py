@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entailer.llm.common import map_batches
+from entailer.llm.common import map_batches, schema_of, with_text
 from entailer.llm.words import SPACE, Rolling, Words, _BYTE, _BYTE_POWERS, covered, sub_batches
 
 MIN_WORDS = 50
@@ -144,11 +144,11 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _measure_batches(keep: list[str]):
+def _measure_batches(keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sub in sub_batches(batch, "_text"):
-                counts = measure(sub.column("_text"))
+            for sub in sub_batches(batch, text):
+                counts = measure(sub.column(text))
                 yield pa.RecordBatch.from_arrays(
                     [*(sub.column(c) for c in keep),
                      *(pa.array(counts[c], pa.int64()) for c in COUNTS)], names=[*keep, *COUNTS])
@@ -157,9 +157,9 @@ def _measure_batches(keep: list[str]):
 
 def repetition_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs(text, ...)`` with counts, ``base_failed`` and ``kept``."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c != "_text")
-    counts = map_batches(rows, _measure_batches(keep), schema + ", ".join(f"{c} long" for c in COUNTS))
+    rows, text = with_text(docs, keep)
+    counts = map_batches(rows, _measure_batches(keep, text),
+                         schema_of(docs, keep) + ", ".join(f"{c} long" for c in COUNTS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     method = (F.col("covered_words") <= MAX_COVERED * F.col("n_words")) & (
         F.col("longest_repeat") <= MAX_REPEAT)

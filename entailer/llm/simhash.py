@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entailer.llm.common import map_batches
+from entailer.llm.common import map_batches, schema_of
 from entailer.llm.words import SPACE, Words, ranges, sub_batches
 from entailer.operators.fixpoint import pin
 from entailer.operators.sameas import same_as_clusters
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> Da
                     [*(sub.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c != "_text")
+    schema = schema_of(docs, keep)
     return map_batches(rows, run, schema + "fp long")
 
 
