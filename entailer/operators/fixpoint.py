@@ -5,35 +5,89 @@ are written as parquet tables into ``spark.checkpoint.dir`` (a shared folder
 on a cluster) and read back, so a lost executor never forces recomputation of
 earlier rounds, the logical plan does not grow with the number of rounds, and
 every read-back has fresh attribute ids (safe to self-join).
+
+What a call stores stays until :func:`release_state` (or the end of a
+:func:`state_scope`) drops it: results are read from it lazily.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Stored state of each application, oldest first: ("table" | "path", name).
+_state: dict[str, list[tuple[str, str]]] = {}
+
+
+def _single_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; pick a local one only in local mode."""
+    """The shared folder of the session; a temporary one only in ``local[...]`` mode.
+
+    A machine-local folder is refused on a real cluster: other executors could
+    not read it. (``entailer.checkpoint.sharedFileSystem=true`` vouches for a
+    ``file:`` path that is mounted on every machine.)
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="entailer-ckpt-"))
-        return sc.getCheckpointDir()
-    raise RuntimeError(
-        "spark.checkpoint.dir is not set: point it at a folder shared by the "
-        "cluster (HDFS, S3, ...) before running recursive operators"
-    )
+    if not current:
+        current = sc.getConf().get("spark.checkpoint.dir", None)
+        if not current and _single_machine(sc.master):
+            current = tempfile.mkdtemp(prefix="entailer-ckpt-")
+        if not current:
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: point it at a folder shared by the "
+                "cluster (HDFS, S3, ...) before running recursive operators")
+        sc.setCheckpointDir(current)
+        current = sc.getCheckpointDir()
+    vouched = sc.getConf().get("entailer.checkpoint.sharedFileSystem", "false") == "true"
+    if current.startswith("file:") and not (sc.master.startswith("local") or vouched):
+        raise RuntimeError(f"{current} is local to each machine: set spark.checkpoint.dir to a shared folder")
+    return current
+
+
+def _remember(spark: SparkSession, kind: str, name: str) -> None:
+    _state.setdefault(spark.sparkContext.applicationId, []).append((kind, name))
+
+
+def release_state(spark: SparkSession, keep: int = 0) -> None:
+    """Drop stored tables and folders, newest first, down to the first ``keep``.
+
+    Frames that read them become unusable: write results before.
+    """
+    held = _state.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(held) > keep:
+        kind, name = held.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def state_scope(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, all state that was stored inside."""
+    before = len(_state.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release_state(spark, before)
+
+
+def state_path(spark: SparkSession, name: str) -> str:
+    """A new path for state in the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _remember(spark, "path", path)
+    return path
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:
@@ -55,20 +109,24 @@ def pin(df: DataFrame) -> DataFrame:
     is also columnar, compressed and filterable at the scan.
     """
     spark = df.sparkSession
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/pinned-" + uuid.uuid4().hex
+    path = state_path(spark, "pinned")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def new_facts(candidates: DataFrame, known: DataFrame,
-              on: Sequence[str] | None = None) -> DataFrame:
+def new_facts(candidates: DataFrame, known: DataFrame, on: Sequence[str] | None = None,
+              partitions: int | None = None) -> DataFrame:
     """Distinct candidate rows that are not in ``known`` (U3 "subtract").
 
     A left-anti join on every column: keeps the left side's rows whose key is
     absent on the right. Both sides are hash-partitioned on the full row, so
-    no single key can concentrate the work.
+    no single key can concentrate the work. With ``partitions`` the candidates
+    are dealt out to that many, which lines up with a :class:`FactStore` of as
+    many buckets: the known side is then read in place, without an exchange.
     """
     on = list(on or candidates.columns)
+    if partitions:
+        candidates = candidates.repartition(partitions, *on)
     return candidates.dropDuplicates(on).join(known.select(*on), on=on, how="left_anti")
 
 
@@ -84,105 +142,125 @@ def is_empty(df: DataFrame) -> bool:
 
 
 DEFAULT_BUCKET_BYTES = 128 * 1024 * 1024
+SMALL_BYTES = 1024 * 1024
+OUTGROWN = 4
 
 
-def _shuffle_partitions(spark: SparkSession) -> int:
-    value = spark.conf.get("spark.sql.shuffle.partitions", "200")
-    return int(value) if value.isdigit() else spark.sparkContext.defaultParallelism
+def _target(spark: SparkSession) -> int:
+    conf = spark.conf.get("entailer.bucket.targetBytes", None)
+    return int(conf) if conf else DEFAULT_BUCKET_BYTES
 
 
 def bucket_count(spark: SparkSession, size_bytes: int) -> int:
-    """Buckets for a fixpoint table whose first round holds ``size_bytes``.
+    """Buckets of a fixpoint table that holds ``size_bytes``.
 
-    About ``entailer.bucket.targetBytes`` (128 MiB) per bucket but at least
-    one per core, capped at ``spark.sql.shuffle.partitions``. On large inputs the cap applies, so the
-    buckets line up with the shuffle partitions of the joins against the
-    table and its side needs no exchange; small inputs get few buckets (few
-    tiny files and tasks) and ordinary shuffles, which cost little there.
+    About ``entailer.bucket.targetBytes`` (128 MiB) per bucket, without a cap,
+    and at least one per core so that writes and scans stay parallel; a table
+    of under 1 MiB has one. Independent of ``spark.sql.shuffle.partitions``:
+    joins against the table deal out the other side to as many partitions.
     """
-    conf = spark.conf.get("entailer.bucket.targetBytes", None)
-    target = int(conf) if conf else DEFAULT_BUCKET_BYTES
-    # At least one bucket per core, so writes and scans stay parallel.
-    wanted = max(spark.sparkContext.defaultParallelism, -(-size_bytes // target))
-    return max(1, min(_shuffle_partitions(spark), wanted))
+    if size_bytes < SMALL_BYTES:
+        return 1
+    return max(spark.sparkContext.defaultParallelism, -(-size_bytes // _target(spark)))
 
 
-class FactStore:
-    """The growing fact set of a fixpoint, as a table in the checkpoint folder.
+class RoundTable:
+    """A growing set of rows, one parquet folder per round (``rnd=k``).
 
-    Each round's new facts are appended as one partition (``rnd = k``) of a
-    parquet table bucketed on the fact columns, with as many buckets as the
-    session's shuffle partitions. Reading one round is a partition-pruned
-    scan; reading everything known is a bucketed scan whose partitioning
-    already matches a join on the bucket columns (by default all columns, as
-    in the ``left_anti`` join of :func:`new_facts`), so the stored rows are
-    never shuffled again -- only the (smaller) other side is.
-    Committed files survive the loss of the executors that wrote them.
+    Reading any range of rounds is one scan with partition pruning, so plans
+    do not grow with the number of rounds.
     """
 
-    def __init__(self, spark: SparkSession, cols: Sequence[str] = ("s", "p", "o"),
-                 buckets: int | None = None, bucket_cols: Sequence[str] | None = None):
-        self.spark = spark
-        self.cols = list(cols)
-        self.bucket_cols = list(bucket_cols or cols)
-        self.name = "entailer_facts_" + uuid.uuid4().hex
-        self.path = ensure_checkpoint_dir(spark).rstrip("/") + "/" + self.name
-        self.buckets = buckets or _shuffle_partitions(spark)
-        # Shuffle outputs line up with the buckets only when the counts match.
-        self.aligned = self.buckets == _shuffle_partitions(spark)
+    def __init__(self, spark: SparkSession, cols: Sequence[str]):
+        self.spark, self.cols = spark, list(cols)
+        self.path = state_path(spark, "rounds")
         self.rounds = 0
+        self.schema: str | None = None
 
-    def add(self, df: DataFrame, repartition: bool = False) -> DataFrame:
-        """Append ``df`` as the next round; return that round, read back.
-
-        A bucketed write has every task write one file per bucket it holds.
-        Rows already hash-partitioned on the bucket columns (such as the
-        output of :func:`new_facts`, when the bucket count equals the shuffle
-        partitions) give one file per bucket; anything else is shuffled on the
-        bucket columns first (``repartition=True``, automatic when the counts
-        differ), or a round could produce buckets x tasks files.
-        """
+    def add(self, df: DataFrame) -> DataFrame:
+        df = df.select(*self.cols)
+        if self.schema is None:
+            self.schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", rnd int"
         k = self.rounds
-        if repartition or not self.aligned:
-            df = df.repartition(self.buckets, *self.bucket_cols)
-        (df.select(*self.cols).withColumn("rnd", F.lit(k)).write.mode("append")
-         .format("parquet").partitionBy("rnd").bucketBy(self.buckets, *self.bucket_cols)
-         .option("path", self.path).saveAsTable(self.name))
+        df.write.parquet(f"{self.path}/rnd={k}")
         self.rounds += 1
         return self.where(F.col("rnd") == k)
 
     def where(self, cond) -> DataFrame:
-        return self.spark.table(self.name).where(cond).select(*self.cols)
+        stored = self.spark.read.schema(self.schema).parquet(self.path)
+        return stored.where(cond).select(*self.cols)
 
     def upto(self, k: int) -> DataFrame:
         """Rounds ``0..k``."""
         return self.where(F.col("rnd") <= k)
 
     def all(self) -> DataFrame:
-        return self.spark.table(self.name).select(*self.cols)
+        return self.where(F.lit(True))
 
 
-class PinnedParts:
-    """Fixpoint state for schema-sized data: one pinned parquet table per round.
+class FactStore:
+    """The growing fact set of a fixpoint, as a table in the checkpoint folder.
 
-    Same interface as :class:`FactStore` without the bucketing, which only
-    pays off when the known facts are too large to broadcast.
+    Each round's new facts are appended as one partition (``rnd = k``) of a
+    parquet table bucketed on all fact columns. Reading one round is a
+    partition-pruned scan; reading everything known is a bucketed scan whose
+    partitioning matches the anti-join of :func:`new_facts`, so stored rows
+    are never shuffled again. When the set outgrows its buckets
+    (``OUTGROWN`` times the target size each) it is dealt out to more.
+    Committed files survive the loss of the executors that wrote them.
     """
 
-    def __init__(self, spark: SparkSession, cols: Sequence[str] = ("s", "p", "o")):
-        self.cols = list(cols)
-        self.parts: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, cols: Sequence[str] = ("s", "p", "o"), size_bytes: int = 0):
+        self.spark, self.cols = spark, list(cols)
+        self.buckets = bucket_count(spark, size_bytes)
+        self.bytes = 0
+        self.rounds = 0
+        self._create()
 
-    @property
-    def rounds(self) -> int:
-        return len(self.parts)
+    def _create(self) -> None:
+        self.name = "entailer_facts_" + uuid.uuid4().hex
+        self.path = state_path(self.spark, self.name)
+        _remember(self.spark, "table", self.name)
 
-    def add(self, df: DataFrame) -> DataFrame:
-        self.parts.append(pin(df.select(*self.cols)))
-        return self.parts[-1]
+    def _write(self, df: DataFrame) -> None:
+        (df.write.mode("append").format("parquet").partitionBy("rnd")
+         .bucketBy(self.buckets, *self.cols).option("path", self.path).saveAsTable(self.name))
+
+    def add(self, df: DataFrame, size_bytes: int = 0, placed: bool = False) -> DataFrame:
+        """Append ``df`` as the next round; return that round, read back.
+
+        A bucketed write has every task write one file per bucket it holds:
+        rows are dealt out by bucket first unless they are ``placed`` already
+        (the output of :func:`new_facts` with this table's bucket count).
+        """
+        k = self.rounds
+        if not placed:
+            df = df.repartition(self.buckets, *self.cols)
+        self._write(df.select(*self.cols).withColumn("rnd", F.lit(k)))
+        self.rounds += 1
+        self.grown(size_bytes)
+        return self.where(F.col("rnd") == k)
+
+    def grown(self, size_bytes: int) -> None:
+        """Note that ``size_bytes`` were added; deal out anew if there are too few buckets."""
+        self.bytes += size_bytes
+        wanted = bucket_count(self.spark, self.bytes)
+        if wanted > OUTGROWN * self.buckets:
+            old = self.spark.table(self.name)
+            self.buckets = wanted
+            self._create()
+            self._write(old.repartition(self.buckets, *self.cols))
+
+    def new(self, candidates: DataFrame, known: DataFrame) -> DataFrame:
+        """:func:`new_facts` against this table's rows, aligned with its buckets."""
+        return new_facts(candidates.select(*self.cols), known, partitions=self.buckets)
+
+    def where(self, cond) -> DataFrame:
+        return self.spark.table(self.name).where(cond).select(*self.cols)
 
     def upto(self, k: int) -> DataFrame:
-        return union_all(self.parts[:k + 1])
+        """Rounds ``0..k``."""
+        return self.where(F.col("rnd") <= k)
 
     def all(self) -> DataFrame:
-        return union_all(self.parts)
+        return self.spark.table(self.name).select(*self.cols)

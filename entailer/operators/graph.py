@@ -19,10 +19,15 @@ TRIPLE_COLS = ("s", "p", "o")
 
 @dataclass(frozen=True)
 class Graph:
-    """Instance data (ABox) and schema data (TBox), both ``(s, p, o)``."""
+    """Instance data (ABox) and schema data (TBox), both ``(s, p, o)``.
+
+    ``rejects`` holds the input lines that were no triples (``value``), where
+    the graph was read from text.
+    """
 
     abox: DataFrame
     tbox: DataFrame
+    rejects: DataFrame | None = None
 
     def triples(self) -> DataFrame:
         return self.abox.unionByName(self.tbox)
@@ -91,7 +96,3 @@ def as_triples(rel: DataFrame, pred: str | Column, s: str = "s", o: str = "o") -
     """``(s, o)`` -> ``(s, pred, o)``."""
     p = pred if isinstance(pred, Column) else F.lit(pred)
     return rel.select(F.col(s).alias("s"), p.alias("p"), F.col(o).alias("o"))
-
-
-def types_as_triples(types: DataFrame, s: str = "s", cls: str = "cls") -> DataFrame:
-    return as_triples(types, V.RDF_TYPE, s=s, o=cls)

@@ -7,19 +7,18 @@ values, so a plain shuffle join on them would put a whole predicate such as
 only after its size has been measured. Beyond the bound the join is *salted*:
 each instance row gets a deterministic salt (a hash of the row, so task
 retries see the same value) and the schema side is replicated once per salt,
-which spreads every hot key over ``entailer.salt.buckets`` tasks.
+which spreads every hot key over as many tasks as the session shuffles to
+(``entailer.salt.buckets`` overrides).
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
-DEFAULT_SALT_BUCKETS = 32
 ROW_OVERHEAD_BYTES = 48
 
 
@@ -71,8 +70,11 @@ def measure_many(frames: list[DataFrame]) -> list[Sized]:
 
 
 def salt_buckets(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("entailer.salt.buckets", None)
-    return int(conf) if conf else DEFAULT_SALT_BUCKETS
+    """One salt per shuffle partition: what the session was sized for."""
+    spark = df.sparkSession
+    conf = spark.conf.get("entailer.salt.buckets", None) or spark.conf.get(
+        "spark.sql.shuffle.partitions", "200")
+    return int(conf) if conf.isdigit() else spark.sparkContext.defaultParallelism
 
 
 def join_small(big: DataFrame, small: "Sized | DataFrame", on: list[str],
@@ -92,6 +94,16 @@ def join_small(big: DataFrame, small: "Sized | DataFrame", on: list[str],
     return salted.join(copies, on + ["_salt"], how).drop("_salt")
 
 
+def join_back(rows: DataFrame, aggregate: DataFrame, key: list[str]) -> DataFrame:
+    """Join rows with an aggregate per ``key`` of the same rows, safe for hot keys.
+
+    AQE splits a hot key only where both join sides are plain shuffles. An
+    aggregate already lies partitioned by ``key``, which would stop that; the
+    extra hash column makes Spark deal out both sides for the join.
+    """
+    k = F.xxhash64(*key)
+    return rows.withColumn("_k", k).join(
+        aggregate.withColumn("_k", k), ["_k", *key]).drop("_k")
 
 
 def pin_bundle(frames: dict[str, DataFrame]) -> dict[str, Sized]:
@@ -102,7 +114,7 @@ def pin_bundle(frames: dict[str, DataFrame]) -> dict[str, Sized]:
     pruning), and sized by one grouped aggregation: a handful of rows, one
     per relation, reaches the driver.
     """
-    from entailer.operators.fixpoint import ensure_checkpoint_dir
+    from entailer.operators.fixpoint import state_path
 
     spark = next(iter(frames.values())).sparkSession
     width = max(len(df.columns) for df in frames.values())
@@ -115,7 +127,7 @@ def pin_bundle(frames: dict[str, DataFrame]) -> dict[str, Sized]:
     bundle = parts[0]
     for p in parts[1:]:
         bundle = bundle.unionByName(p)
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/schema-" + uuid.uuid4().hex
+    path = state_path(spark, "schema")
     bundle.write.partitionBy("rel").parquet(path)
     schema = ", ".join(f"{s} string" for s in slots) + ", rel string"
     stored = spark.read.schema(schema).parquet(path)

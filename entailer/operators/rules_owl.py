@@ -3,8 +3,8 @@
 All rules are equi-joins. Schema sides (property sets, inverse pairs,
 restrictions) are broadcast after a size check and salted beyond it (see
 :func:`joins.join_small`); the joins between two
-instance-sized inputs (OWL 15/16 and the grouping in OWL 1/2) are shuffle
-joins whose hot keys AQE's skew-join handling splits.
+instance-sized inputs (OWL 15/16 and the grouping in OWL 1/2) are joins of
+plain shuffles, whose hot keys AQE's skew-join handling splits.
 
 OWL 1 and 2 derive ``owl:sameAs`` between all values sharing a key. The
 output is the *star* form: every value is linked to the smallest value of its
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
-from entailer.operators.joins import join_small
+from entailer.operators.joins import join_back, join_small
 from entailer.operators.rules_rdfs import SchemaSide, _out, renamed
 
 
@@ -31,25 +31,23 @@ def prune(facts: DataFrame, props: SchemaSide) -> DataFrame:
 def _star(facts: DataFrame, key: list[str], value: str) -> DataFrame:
     """Link every ``value`` of a ``key`` group to the group minimum.
 
-    The minimum is a partial (map-side combined) aggregation, joined back on
-    the key: no group is ever collected into one task.
+    The minimum is combined on the map side and joined back on the key in a
+    way that lets AQE split a hot group over tasks.
     """
     rep = facts.groupBy(*key).agg(F.min(value).alias("rep"))
-    return (facts.join(rep, key).where(F.col(value) != F.col("rep"))
+    return (join_back(facts, rep, key).where(F.col(value) != F.col("rep"))
             .select(F.col(value).alias("s"), F.lit(V.OWL_SAME_AS).alias("p"),
                     F.col("rep").alias("o")))
 
 
 def owl1(facts: DataFrame, functional: SchemaSide, distinct: bool = True) -> DataFrame:
     """``p`` functional, ``u p v, u p w => v sameAs w`` (star form)."""
-    t = prune(facts, functional).distinct()
-    return _out(_star(t, ["s", "p"], "o"), distinct)
+    return _out(_star(prune(facts, functional), ["s", "p"], "o"), distinct)
 
 
 def owl2(facts: DataFrame, inv_functional: SchemaSide, distinct: bool = True) -> DataFrame:
     """``p`` inverse-functional, ``v p u, w p u => v sameAs w`` (star form)."""
-    t = prune(facts, inv_functional).distinct()
-    return _out(_star(t, ["p", "o"], "s"), distinct)
+    return _out(_star(prune(facts, inv_functional), ["p", "o"], "s"), distinct)
 
 
 def owl3(facts: DataFrame, symmetric: SchemaSide, distinct: bool = True) -> DataFrame:

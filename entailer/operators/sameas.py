@@ -4,8 +4,8 @@ Clusters are the connected components of the undirected sameAs graph, each
 named by its smallest member. They are found with the alternating
 large-star / small-star algorithm (Kiveris et al., "Connected Components in
 MapReduce and Beyond", SoCC 2014): every step is a partial ``min``
-aggregation plus a join back on the node, so a giant component never lands in
-a single task, and the number of rounds is logarithmic in practice.
+aggregation plus a join back on the node that lets AQE split the centre of a
+giant component over tasks; the number of rounds is logarithmic in practice.
 
 The sameAs closure is kept in *canonical* form -- one ``(member, id)`` row per
 member -- rather than as all pairs of a cluster, which is quadratic. OWL 11
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
-from entailer.operators.fixpoint import fresh, is_empty, pin
-from entailer.operators.joins import measure
+from entailer.operators.fixpoint import fresh, is_empty, new_facts, pin
+from entailer.operators.joins import join_back, measure
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -36,20 +36,20 @@ def _large_star(e: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("x"), F.col("u").alias("y")))
     low = both.groupBy("x").agg(F.min("y").alias("mn"))
     low = low.select("x", F.least("mn", "x").alias("mn"))
-    return (both.join(low, "x").where(F.col("y") > F.col("x"))
+    return (join_back(both, low, ["x"]).where(F.col("y") > F.col("x"))
             .select(F.col("y").alias("u"), F.col("mn").alias("v")).distinct())
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
     low = e.groupBy("u").agg(F.min("v").alias("mn"))
-    linked = e.join(low, "u").select(F.col("v").alias("x"), F.col("mn"))
+    linked = join_back(e, low, ["u"]).select(F.col("v").alias("x"), F.col("mn"))
     centre = low.select(F.col("u").alias("x"), F.col("mn"))
     return (linked.unionByName(centre).where(F.col("x") != F.col("mn"))
             .select(F.col("x").alias("u"), F.col("mn").alias("v")).distinct())
 
 
-def same_as_clusters(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def same_as_clusters(pairs: DataFrame) -> DataFrame:
     """``pairs(a, b)`` -> ``(member, id)`` for every member other than the id.
 
     Converges when a large-star + small-star round leaves the edge set
@@ -57,16 +57,12 @@ def same_as_clusters(pairs: DataFrame, max_rounds: int | None = None) -> DataFra
     """
     e = pin(_oriented(pairs))
     n = e.count()
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
+    while True:
         nxt = pin(_small_star(_large_star(e)))
         m = nxt.count()
         if m == n and is_empty(nxt.join(fresh(e), ["u", "v"], "left_anti")):
-            e = nxt
-            break
+            return nxt.select(F.col("u").alias("member"), F.col("v").alias("id"))
         e, n = nxt, m
-    return e.select(F.col("u").alias("member"), F.col("v").alias("id"))
 
 
 def same_as_pairs(facts: DataFrame) -> DataFrame:
@@ -97,23 +93,27 @@ def cluster_links(clusters: DataFrame) -> DataFrame:
                            F.col("id").alias("o"))
 
 
-def canonicalise(facts: DataFrame, clusters: DataFrame) -> DataFrame:
-    """J14 (OWL 11, canonical form): replace subject and object by their cluster id.
+def rewritten(facts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """J14 (OWL 11, canonical form): triples whose subject or object is a cluster
+    member, with every term replaced by its cluster id.
 
-    Terms outside every cluster stand for themselves. The member table is
-    joined twice (left joins on the term, broadcast when its measured size
-    allows), never expanded per cluster.
+    Triples without a member stand for themselves and are not repeated. The
+    member table is joined twice (left joins on the term, broadcast when its
+    measured size allows), never expanded per cluster.
     """
     sized = measure(clusters)
     cs = sized.map(lambda c: fresh(c, "s", "sid")).side()
     co = sized.map(lambda c: fresh(c, "o", "oid")).side()
     t = facts.where(F.col("p") != V.OWL_SAME_AS)
-    return (t.join(cs, "s", "left").join(co, "o", "left")
-            .select(F.coalesce("sid", "s").alias("s"), "p",
-                    F.coalesce("oid", "o").alias("o")).distinct())
+    touched = t.join(cs, "s", "left").join(co, "o", "left").where(
+        F.col("sid").isNotNull() | F.col("oid").isNotNull())
+    return touched.select(F.coalesce("sid", "s").alias("s"), "p", F.coalesce("oid", "o").alias("o"))
 
 
 def owl11(facts: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Asserted non-sameAs triples plus their canonical rewrite, distinct."""
+    """Non-sameAs triples of the set ``facts`` plus their canonical rewrite.
+
+    Only rewritten triples are deduplicated and checked against the facts.
+    """
     t = facts.where(F.col("p") != V.OWL_SAME_AS).select("s", "p", "o")
-    return t.unionByName(canonicalise(facts, clusters)).distinct()
+    return t.unionByName(new_facts(rewritten(facts, clusters), t))

@@ -14,15 +14,19 @@ from entailer.functions import vocab as V
 from entailer.operators import closure, rules_owl as O, rules_rdfs as R, sameas as S
 from entailer.operators.fixpoint import new_facts, union_all
 from entailer.operators.graph import (
+    Graph,
     inverse_pairs,
     properties_of_kind,
     relation,
     restrictions,
+    split_abox as split_abox_parts_of,
     split_graph,
     types_of,
 )
 from entailer.plans.materialize import OwlSchema, materialize_owl, materialize_rdfs
 from entailer.plans.testgraph import derived_graph
+from entailer.operators.fixpoint import state_path
+from entailer.sources.triples import parse_lines, read_graph, write_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +47,57 @@ def split_abox(spark, sf_dir):
     return split_graph(derived_graph(spark, sf_dir).triples().distinct()).abox
 
 
+def split_abox_parts(spark, sf_dir):
+    """Asserted triples, types and sameAs pairs (here: the OWL 1/2 links) apart."""
+    g = derived_graph(spark, sf_dir)
+    links = O.owl2(g.abox, properties_of_kind(g.tbox, V.OWL_INVERSE_FUNCTIONAL_PROPERTY))
+    triples, types, sames = split_abox_parts_of(g.abox.unionByName(links))
+    part = lambda name, df, s, p, o: df.select(
+        F.lit(name).alias("part"), F.col(s).alias("s"), p.alias("p"), F.col(o).alias("o"))
+    return union_all([part("triple", triples, "s", F.col("p"), "o"),
+                      part("type", types, "s", F.lit(V.RDF_TYPE), "cls"),
+                      part("sameAs", sames, "a", F.lit(V.OWL_SAME_AS), "b")])
+
+
+def _token_lines(spark, sf_dir):
+    """Text lines from the orders: some with trailing tokens, some too short, some with gaps."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    line = (F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("<o"), key, F.lit("> <p>")))
+            .when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("<o"), key, F.lit(">  <gap>")))
+            .otherwise(F.concat_ws(" ", F.concat(F.lit("<o"), key, F.lit(">")), F.lit("<prio>"),
+                                   F.col("o_orderpriority"))))
+    return orders.select(line.alias("value"))
+
+
+def parse_tokens(spark, sf_dir):
+    return parse_lines(_token_lines(spark, sf_dir), "tokens")[0]
+
+
+def rejects(spark, sf_dir):
+    return parse_lines(_token_lines(spark, sf_dir), "tokens")[1]
+
+
+def parse_nt(spark, sf_dir):
+    """Whole literals: the object keeps its inner spaces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.regexp_replace("text", r"[\s\\\\]+", " ")
+    line = F.concat(F.lit("<d"), F.col("doc_id").cast("string"), F.lit("> <text> \""), text,
+                    F.lit("\" ."))
+    return parse_lines(docs.where(F.col("text").isNotNull()).select(line.alias("value")), "nt")[0]
+
+
+def sink_round_trip(spark, sf_dir):
+    """S4 then S1: document texts with line breaks and tabs as literals, and the schema."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").isNotNull())
+    texts = docs.select(F.concat(F.lit("ex:doc"), F.col("doc_id").cast("string")).alias("s"),
+                        F.lit("ex:text of").alias("p"), F.col("text").alias("o"))
+    g = derived_graph(spark, sf_dir)
+    path = state_path(spark, "round-trip")
+    write_graph(Graph(abox=texts, tbox=g.tbox), path, fmt="nt")
+    return read_graph(spark, path, fmt="nt").triples()
+
+
 def property_kinds(spark, sf_dir):
     tbox = derived_graph(spark, sf_dir).tbox
     return union_all([properties_of_kind(tbox, c).select(F.lit(c).alias("kind"), "prop")
@@ -197,6 +252,11 @@ QUERIES: dict[str, Query] = {
     "normalise_vocab": normalise_vocab,
     "split_tbox": split_tbox,
     "split_abox": split_abox,
+    "split_abox_parts": split_abox_parts,
+    "parse_tokens": parse_tokens,
+    "parse_nt": parse_nt,
+    "rejects": rejects,
+    "sink_round_trip": sink_round_trip,
     "property_kinds": property_kinds,
     "inverse_pairs": inverse_pairs_q,
     "restrictions": restrictions_q,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from entailer.functions import vocab as V
 from entailer.functions.vocab import expand_curie_sql
-from entailer.plans.testgraph import AXIOMS
+from entailer.plans.testgraph import AXIOMS, PER_VALUE
 
 # Naive rounds unrolled by the OWL materialisation oracle. The derived graph
 # reaches its fixpoint after 4 productive rounds; more rounds are harmless.
@@ -24,7 +24,7 @@ select 'ex:cust'||c_custkey s,'rdf:type' p,'ex:Nation'||c_nationkey o from custo
 select 'ex:supp'||s_suppkey,'rdf:type','ex:Nation'||s_nationkey from supplier union all
 select 'ex:part'||p_partkey,'rdf:type','ex:PT_'||p_type from part union all
 select 'ex:ord'||o_orderkey,'ex:placedBy','ex:cust'||o_custkey from orders union all
-select 'ex:ord'||o_orderkey,'ex:priority','ex:pr_'||left(o_orderpriority,1) from orders union all
+select 'ex:ord'||o_orderkey,'ex:priority','ex:pr_'||replace(o_orderpriority,' ','_') from orders union all
 select 'ex:ord'||o_orderkey,'rdf:type','ex:FilledOrder' from orders where o_orderstatus='F' union all
 select 'ex:ord'||o_orderkey,'rdf:type','ex:OpenOrder' from orders where o_orderstatus='O' union all
 select 'ex:ord'||l_orderkey,'ex:hasPart','ex:part'||l_partkey from lineitem union all
@@ -34,17 +34,23 @@ select 'ex:conv'||conv_id||'_'||turn,'ex:replyTo','ex:conv'||conv_id||'_'||(turn
        from conversations where turn>0 union all
 select 'ex:doc'||doc_id,'ex:textHash','ex:h'||md5(text) from documents union all
 select 'ex:h'||md5(text),'ex:firstDoc','ex:doc'||doc_id from documents union all
-select 'ex:doc'||doc_id,'ex:source','ex:'||source from documents
+select 'ex:doc'||doc_id,'ex:source_'||replace(source,' ','_'),'ex:'||replace(source,' ','_') from documents
 """
 
 
 def _tbox_raw() -> str:
+    def term(template: str, column: str) -> str:
+        head, found, tail = template.partition("{}")
+        return f"'{head}'" + (f"||replace({column},' ','_')||'{tail}'" if found else "")
+
+    per_value = "".join(
+        f"select distinct {term(s, c)},'{p}',{term(o, c)} from {t} where {c} is not null union all\n"
+        for t, c, s, p, o in PER_VALUE)
     values = ",\n ".join(f"('{s}','{p}','{o}')" for s, p, o in AXIOMS)
     return f"""
 select 'ex:Nation'||n_nationkey s,'rdfs:subClassOf' p,'ex:Region'||n_regionkey o from nation union all
 select 'ex:Region'||r_regionkey,'rdfs:subClassOf','ex:Place' from region union all
-select distinct 'ex:PT_'||p_type,'rdfs:subClassOf','ex:Part' from part union all
-select * from (values
+{per_value}select * from (values
  {values}) v(s, p, o)
 """
 
@@ -217,6 +223,19 @@ def oracle_sql() -> dict[str, str]:
         "normalise_vocab": P + f"\n{graph}",
         "split_tbox": P + f"\nSELECT * FROM ({graph}) g WHERE {IS_SCHEMA}",
         "split_abox": P + f"\nSELECT * FROM ({graph}) g WHERE NOT ({IS_SCHEMA})",
+        "split_abox_parts": P + f"""
+SELECT CASE WHEN p = '{TYPE}' THEN 'type' WHEN p = '{SAME}' THEN 'sameAs' ELSE 'triple' END AS part, s, p, o
+FROM (SELECT s, p, o FROM abox UNION ALL SELECT DISTINCT s, p, o FROM ({_links_ifp('abox')}) l) t""",
+        "parse_tokens": "SELECT '<o' || o_orderkey || '>' AS s, '<prio>' AS p, "
+        "string_split(o_orderpriority, ' ')[1] AS o FROM orders "
+        "WHERE o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT'",
+        "rejects": "SELECT CASE WHEN o_orderstatus = 'P' THEN '<o' || o_orderkey || '> <p>' "
+        "ELSE '<o' || o_orderkey || '>  <gap>' END AS value FROM orders "
+        "WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'",
+        "parse_nt": "SELECT '<d' || doc_id || '>' AS s, '<text>' AS p, '\"' || "
+        "regexp_replace(text, '[\\s\\x0B\\\\]+', ' ', 'g') || '\"' AS o FROM documents WHERE text IS NOT NULL",
+        "sink_round_trip": P + "\nSELECT 'ex:doc' || doc_id AS s, 'ex:text of' AS p, text AS o "
+        "FROM documents WHERE text <> '' UNION ALL SELECT s, p, o FROM tbox",
         "property_kinds": P + f"\n{kinds}",
         "inverse_pairs": P + "\nSELECT prop, inv FROM inv",
         "restrictions": P + f"\n{restr}",

@@ -1,8 +1,10 @@
 """A triple graph derived from the driver's relational tables.
 
 The instance data (ABox) maps rows of customer, supplier, part, orders,
-lineitem, conversations and documents to triples; the schema (TBox) is built
-from nation, region, part types and a fixed set of axioms. Terms are CURIEs
+lineitem, conversations and documents to triples. The schema (TBox) is built
+from the tables too -- classes from nation, region and part types, properties
+from document sources, languages and roles, restrictions from part types and
+order priorities -- plus a fixed set of axioms on top. Terms are CURIEs
 (``ex:``, ``rdf:``, ``rdfs:``, ``owl:``); :func:`derived_graph` normalises
 them to full IRIs like any other input. Every ABox part grows with its table.
 """
@@ -31,7 +33,7 @@ AXIOMS = [
     ("ex:replyTo", "rdf:type", "owl:TransitiveProperty"),
     ("ex:textHash", "rdf:type", "owl:InverseFunctionalProperty"),
     ("ex:firstDoc", "rdf:type", "owl:FunctionalProperty"),
-    ("ex:UrgentOrder", "owl:hasValue", "ex:pr_1"),
+    ("ex:UrgentOrder", "owl:hasValue", "ex:pr_1-URGENT"),
     ("ex:UrgentOrder", "owl:onProperty", "ex:priority"),
     ("ex:OpenOrder", "owl:hasValue", "ex:st_O"),
     ("ex:OpenOrder", "owl:onProperty", "ex:status"),
@@ -48,6 +50,29 @@ AXIOMS = [
     ("ex:placed", "rdfs:domain", "ex:Buyer"),
     ("ex:Customer", "rdfs:subClassOf", "ex:Agent"),
     ("ex:FilledPart", "rdfs:subClassOf", "ex:Shippable"),
+    ("ex:source", "rdfs:subPropertyOf", "ex:provenance"),
+    ("ex:provenance", "rdfs:subPropertyOf", "ex:linkedTo"),
+]
+
+# Schema triples per distinct value of a column: (table, column, s, p, o), where
+# ``{}`` in a term stands for the value (spaces become underscores).
+PER_VALUE = [
+    ("part", "p_type", "ex:PT_{}", "rdfs:subClassOf", "ex:Part"),
+    ("part", "p_type", "ex:Basket_{}", "owl:someValuesFrom", "ex:PT_{}"),
+    ("part", "p_type", "ex:Basket_{}", "owl:onProperty", "ex:hasPart"),
+    ("part", "p_type", "ex:Basket_{}", "rdfs:subClassOf", "ex:Basket"),
+    ("orders", "o_orderpriority", "ex:PriorityOrder_{}", "owl:hasValue", "ex:pr_{}"),
+    ("orders", "o_orderpriority", "ex:PriorityOrder_{}", "owl:onProperty", "ex:priority"),
+    ("orders", "o_orderstatus", "ex:StatusOrder_{}", "owl:allValuesFrom", "ex:StatusPart_{}"),
+    ("orders", "o_orderstatus", "ex:StatusOrder_{}", "owl:onProperty", "ex:hasPart"),
+    ("documents", "source", "ex:source_{}", "rdfs:subPropertyOf", "ex:source"),
+    ("documents", "source", "ex:source_{}", "rdf:type", "owl:FunctionalProperty"),
+    ("documents", "source", "ex:source_{}", "owl:inverseOf", "ex:holds_{}"),
+    ("documents", "lang", "ex:sameLang_{}", "rdf:type", "owl:SymmetricProperty"),
+    ("documents", "lang", "ex:hash_{}", "rdf:type", "owl:InverseFunctionalProperty"),
+    ("documents", "lang", "ex:hash_{}", "rdfs:subPropertyOf", "ex:textHash"),
+    ("conversations", "role", "ex:replyTo_{}", "rdf:type", "owl:TransitiveProperty"),
+    ("conversations", "role", "ex:replyTo_{}", "rdfs:subPropertyOf", "ex:replyTo"),
 ]
 
 
@@ -56,13 +81,14 @@ def _t(df: DataFrame, s: Column, p: str | Column, o: Column) -> DataFrame:
     return df.select(s.alias("s"), p.alias("p"), o.alias("o"))
 
 
-def _many(df: DataFrame, *triples: tuple[Column, str, Column, Column | None]) -> DataFrame:
+def _many(df: DataFrame, *triples: tuple[Column, str | Column, Column, Column | None]) -> DataFrame:
     """Several triples per row from one scan: ``(s, p, o, condition)`` each.
 
     The row is read once and ``explode``d into its triples (shared
     sub-expressions such as a text digest are computed once per row).
     """
-    structs = [F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o")) for s, p, o, _ in triples]
+    structs = [F.struct(s.alias("s"), (p if isinstance(p, Column) else F.lit(p)).alias("p"),
+                        o.alias("o")) for s, p, o, _ in triples]
     items = [st if cond is None else F.when(cond, st) for st, (_, _, _, cond) in zip(structs, triples)]
     return (df.select(F.explode(F.array(*items)).alias("t")).where(F.col("t").isNotNull())
             .select("t.s", "t.p", "t.o"))
@@ -73,6 +99,14 @@ def _term(prefix: str, *cols) -> Column:
                                      for c in cols])
 
 
+def _value(template: str, column: str) -> Column:
+    """A term with a column's whole value in place of ``{}``."""
+    head, found, tail = template.partition("{}")
+    if not found:
+        return F.lit(template)
+    return F.concat(F.lit(head), F.replace(F.col(column), F.lit(" "), F.lit("_")), F.lit(tail))
+
+
 def raw_abox(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     customer, supplier, part = read("customer"), read("supplier"), read("part")
@@ -91,7 +125,7 @@ def raw_abox(spark: SparkSession, sf_dir: str) -> DataFrame:
         _t(part, _term("ex:part", "p_partkey"), "rdf:type", _term("ex:PT_", "p_type")),
         _many(orders,
               (ord_, "ex:placedBy", _term("ex:cust", "o_custkey"), None),
-              (ord_, "ex:priority", _term("ex:pr_", F.substring("o_orderpriority", 1, 1)), None),
+              (ord_, "ex:priority", _value("ex:pr_{}", "o_orderpriority"), None),
               (ord_, "rdf:type", F.lit("ex:FilledOrder"), status == "F"),
               (ord_, "rdf:type", F.lit("ex:OpenOrder"), status == "O")),
         _t(lineitem, _term("ex:ord", "l_orderkey"), "ex:hasPart", _term("ex:part", "l_partkey")),
@@ -103,19 +137,24 @@ def raw_abox(spark: SparkSession, sf_dir: str) -> DataFrame:
         _many(digest,
               (doc, "ex:textHash", F.col("h"), None),
               (F.col("h"), "ex:firstDoc", doc, None),
-              (doc, "ex:source", _term("ex:", "source"), None)),
+              (doc, _value("ex:source_{}", "source"), _value("ex:{}", "source"), None)),
     ])
 
 
 def raw_tbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    nation, region, part = read("nation"), read("region"), read("part")
+    nation, region = read("nation"), read("region")
+    columns = dict.fromkeys((t, c) for t, c, *_ in PER_VALUE)
+    # One scan and one distinct per column, then a few triples per value.
+    values = [_many(read(t).select(c).distinct(), *[
+        (_value(s, c), p, _value(o, c), None) for t2, c2, s, p, o in PER_VALUE if (t2, c2) == (t, c)])
+        for t, c in columns]
     axioms = spark.createDataFrame(AXIOMS, "s string, p string, o string")
     return union_all([
         _t(nation, _term("ex:Nation", "n_nationkey"), "rdfs:subClassOf",
            _term("ex:Region", "n_regionkey")),
         _t(region, _term("ex:Region", "r_regionkey"), "rdfs:subClassOf", F.lit("ex:Place")),
-        _t(part, _term("ex:PT_", "p_type"), "rdfs:subClassOf", F.lit("ex:Part")).distinct(),
+        *values,
         axioms,
     ])
 

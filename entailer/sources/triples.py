@@ -7,12 +7,16 @@
 * ``parquet``: a table with string columns ``s, p, o``.
 
 Lines that do not yield three non-empty parts are returned as *rejects*
-instead of failing the job.
+instead of failing the job; a loaded graph carries them.
+
+Terms are written to ``nt`` lines with N-Triples escapes (backslash, line
+breaks, tabs, and spaces where they would end a term), which reading undoes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +27,33 @@ from entailer.operators.graph import TRIPLE_COLS, Graph, split_graph
 NT_LINE = r"^\s*(\S+)\s+(\S+)\s+(.+?)\s*\.?\s*$"
 
 
+# Characters that a line or a term may not hold, and their escapes.
+ESCAPES = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\f", "\\f"),
+           ("\x0b", "\\u000B")]
+SPACE, HASH = "\\u0020", "\\u0023"
+
+
+def escape_term(c, inner_spaces: bool):
+    """A term for an ``nt`` line; ``inner_spaces`` may stay in objects only."""
+    for raw, mark in ESCAPES:
+        c = F.replace(c, F.lit(raw), F.lit(mark))
+    if not inner_spaces:
+        c = F.replace(c, F.lit(" "), F.lit(SPACE))
+    c = F.when(F.startswith(c, F.lit(" ")), F.concat(F.lit(SPACE), F.substr(c, F.lit(2)))).otherwise(c)
+    c = F.when(F.endswith(c, F.lit(" ")), F.concat(
+        F.substr(c, F.lit(1), F.length(c) - 1), F.lit(SPACE))).otherwise(c)
+    return F.when(F.startswith(c, F.lit("#")), F.concat(F.lit(HASH), F.substr(c, F.lit(2)))).otherwise(c)
+
+
+def unescape_term(c):
+    """Undo :func:`escape_term`: between escaped backslashes, marks are plain."""
+    def piece(x):
+        for raw, mark in [*ESCAPES[1:], (" ", SPACE), ("#", HASH)]:
+            x = F.replace(x, F.lit(mark), F.lit(raw))
+        return x
+    return F.array_join(F.transform(F.split(c, r"\\\\"), piece), "\\")
+
+
 def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
@@ -36,7 +67,7 @@ def parse_lines(lines: DataFrame, fmt: str = "tokens") -> tuple[DataFrame, DataF
                               F.get(parts, 2).alias("o"))
     elif fmt == "nt":
         lines = lines.where(~F.ltrim(v).startswith("#"))  # N-Triples comments
-        parsed = lines.select(v, *[F.regexp_extract(v, NT_LINE, i + 1).alias(c)
+        parsed = lines.select(v, *[unescape_term(F.regexp_extract(v, NT_LINE, i + 1)).alias(c)
                                    for i, c in enumerate(TRIPLE_COLS)])
     else:
         raise ValueError(f"unknown line format {fmt!r}")
@@ -71,22 +102,31 @@ def prepare(triples: DataFrame, normalise: bool = True, distinct: bool = True) -
 
 def load_graph(spark: SparkSession, abox_path: str | Sequence[str],
                tbox_path: str | Sequence[str] | None = None, fmt: str = "tokens",
-               normalise: bool = True) -> Graph:
+               normalise: bool = True, fail_on_rejects: bool = False) -> Graph:
     """S3: instances and schema from separate paths, or one input split by P1.
 
-    Graphs are sets: duplicates are removed once, at ingest.
+    Graphs are sets: duplicates are removed once, at ingest. Lines that are no
+    triples come back as ``Graph.rejects``; ``fail_on_rejects`` raises if there
+    are any (it reads the input for that).
     """
+    abox, rejects = read_triples(spark, abox_path, fmt, with_rejects=True)
     if tbox_path is None:
-        return split_graph(prepare(read_triples(spark, abox_path, fmt), normalise))
-    return Graph(abox=prepare(read_triples(spark, abox_path, fmt), normalise),
-                 tbox=prepare(read_triples(spark, tbox_path, fmt), normalise))
+        graph = split_graph(prepare(abox, normalise))
+    else:
+        tbox, more = read_triples(spark, tbox_path, fmt, with_rejects=True)
+        graph = Graph(abox=prepare(abox, normalise), tbox=prepare(tbox, normalise))
+        rejects = rejects.unionByName(more)
+    if fail_on_rejects and (bad := rejects.take(1)):
+        raise ValueError(f"input holds lines that are no triples, such as {bad[0]['value']!r}")
+    return replace(graph, rejects=rejects)
 
 
 def _write(df: DataFrame, path: str, fmt: str, n: int | None, mode: str) -> None:
     if n is not None:
         df = df.repartition(n)
     if fmt == "nt":
-        line = F.concat_ws(" ", "s", "p", "o", F.lit("."))
+        line = F.concat_ws(" ", escape_term(F.col("s"), False), escape_term(F.col("p"), False),
+                           escape_term(F.col("o"), True), F.lit("."))
         df.select(line.alias("value")).write.mode(mode).text(path)
     elif fmt == "parquet":
         df.select(*TRIPLE_COLS).write.mode(mode).parquet(path)
@@ -95,12 +135,12 @@ def _write(df: DataFrame, path: str, fmt: str, n: int | None, mode: str) -> None
 
 
 def write_graph(graph: Graph, path: str, fmt: str = "nt", n: int | None = None,
-                mode: str = "overwrite") -> None:
+                mode: str = "errorifexists") -> None:
     """Write ``path/instance`` and ``path/schema``.
 
     ``nt`` lines are ``s p o .`` and read back with ``fmt="nt"``; ``n`` sets
-    the number of output files (a repartition, as the reference's
-    parallelism argument).
+    the number of output files (a repartition). An earlier result at ``path``
+    is an error unless ``mode="overwrite"`` asks to replace it.
     """
     _write(graph.abox, path.rstrip("/") + "/instance", fmt, n, mode)
     _write(graph.tbox, path.rstrip("/") + "/schema", fmt, n, mode)

@@ -140,3 +140,59 @@ def test_null_triples_are_dropped_and_fixpoint_terminates(spark):
     tbox = spark.createDataFrame([("ex:p", V.RDFS_DOMAIN, "ex:C")], "s string, p string, o string")
     out = rows(materialize_owl(Graph(abox=abox, tbox=tbox)).abox)
     assert out == {("a", "ex:p", "b"), ("a", TYPE, "ex:C")}
+
+
+def test_nt_sink_keeps_awkward_terms(spark, tmp_dir):
+    """Line breaks, tabs, backslashes and spaces survive the text round trip."""
+    data = [("a b", "p", "x\ny"), ("s", "p\tq", "tab\there"), ("\\n", "p", "back\\slash \\u0020"),
+            ("s", "p", " lead"), ("s", "p", "trail "), ("#s", "p", "ends ."), ("s", "p", "dot."),
+            ("s", "p", "\r\f\x0b"), ("s", "p", "plain text")]
+    df = spark.createDataFrame(data, "s string, p string, o string")
+    out = os.path.join(tmp_dir, "awkward")
+    write_graph(Graph(abox=df, tbox=df.limit(0)), out)
+    back, rejects = read_triples(spark, out + "/instance", "nt", with_rejects=True)
+    assert rows(back) == set(data)
+    assert rejects.count() == 0
+
+
+def test_write_graph_refuses_to_replace(spark, tmp_dir):
+    g = Graph(abox=spark.createDataFrame([("a", "p", "b")], "s string, p string, o string"),
+              tbox=spark.createDataFrame([], "s string, p string, o string"))
+    out = os.path.join(tmp_dir, "once")
+    write_graph(g, out)
+    with pytest.raises(Exception, match="(?i)exist"):
+        write_graph(g, out)
+    write_graph(g, out, mode="overwrite")
+
+
+def test_load_graph_returns_rejects(spark, tmp_dir):
+    a = write_lines(tmp_dir, "a.in", ["<a> <p> <b> .", "too short"])
+    t = write_lines(tmp_dir, "t.in", ["<p> rdfs:domain <C> .", "x"])
+    g = load_graph(spark, a, t, fmt="nt")
+    assert rows(g.abox) == {("<a>", "<p>", "<b>")}
+    assert rows(g.rejects) == {("too short",), ("x",)}
+    with pytest.raises(ValueError, match="no triples"):
+        load_graph(spark, a, t, fmt="nt", fail_on_rejects=True)
+
+
+def test_subproperties_of_type_and_same_as(spark):
+    """Conclusions that are rdf:type or owl:sameAs triples feed every rule."""
+    abox = spark.createDataFrame([("x", "ex:isA", "C"), ("x", "ex:aka", "y"), ("y", "ex:p", "z")],
+                                 "s string, p string, o string")
+    tbox = spark.createDataFrame([
+        ("ex:isA", V.RDFS_SUBPROPERTY_OF, TYPE), ("ex:aka", V.RDFS_SUBPROPERTY_OF, V.OWL_SAME_AS),
+        ("C", V.RDFS_SUBCLASS_OF, "D")], "s string, p string, o string")
+    g = Graph(abox=abox, tbox=tbox)
+    for out in (rows(materialize_rdfs(g).abox), rows(materialize_owl(g).abox)):
+        assert {("x", TYPE, "C"), ("x", TYPE, "D"), ("x", V.OWL_SAME_AS, "y")} <= out
+    merged = rows(materialize_owl(g, same_as="clusters").abox)
+    assert ("x", "ex:p", "z") in merged and ("y", V.OWL_SAME_AS, "x") in merged
+
+
+def test_terms_outside_clusters_stay(spark):
+    """A term in no cluster stands for itself, as subject and as object."""
+    facts = spark.createDataFrame([("m", "p", "out"), ("out", "p", "m"), ("out", "p", "else")],
+                                  "s string, p string, o string")
+    clusters = spark.createDataFrame([("m", "id")], "member string, id string")
+    assert rows(S.owl11(facts, clusters)) == {
+        ("m", "p", "out"), ("out", "p", "m"), ("out", "p", "else"), ("id", "p", "out"), ("out", "p", "id")}

@@ -40,7 +40,7 @@ def brute_components(pairs):
 
 edge_lists = st.lists(st.tuples(st.sampled_from("abcdefg"), st.sampled_from("abcdefg")),
                       min_size=1, max_size=12)
-SETTINGS = settings(max_examples=4, deadline=None,
+SETTINGS = settings(max_examples=8, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 

@@ -1,4 +1,6 @@
-"""One test per rule on the small rule fixtures (inputs and expected sets as
+"""Fixed test inputs: the small example graphs of FIXTURES.md, part A.
+
+One test per rule on the small rule fixtures (inputs and expected sets as
 documented in FIXTURES.md part A, written inline here)."""
 
 from conftest import rows, write_lines
