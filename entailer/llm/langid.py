@@ -69,7 +69,7 @@ class Grams:
         code = np.zeros(0x110000, np.int64)
         code[self.alphabet] = np.arange(len(self.alphabet))
         s = np.concatenate([[0], np.where(letter, code[symbols], 0)])
-        doc = np.concatenate([doc[:1], doc])
+        doc = np.concatenate([doc[:1] if len(doc) else [0], doc])
         self.base = b = len(self.alphabet)
         one = s > 0
         pair = s[:-1] * b + s[1:]
