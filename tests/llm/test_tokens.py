@@ -1,0 +1,107 @@
+"""Ops 2 and 6: against the tokenizers library; bit planes as an exact round trip."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from entailer.llm import bpe, tokenio
+from entailer.llm.queries import END_ID, op2_token_shards, op6_bpe_round_trip, vocabulary
+from tests.llm.helpers import DOC_SCHEMA, as_table, awkward_rows, docs, records, sha, with_clashes
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_str(vocabulary())
+
+
+def random_texts(n):
+    r = random.Random(7)
+    ranges = [(0, 0x7F), (0x61, 0x7A), (0x61, 0x7A), (0, 0x2FF), (0x300, 0x1FFF), (0x2000, 0xD7FF), (0xE000, 0x1FFFF)]
+    for _ in range(n):
+        yield "".join(chr(r.choice([r.randint(*r.choice(ranges)), 0x20, 0x27])) for _ in range(r.randrange(40)))
+
+
+TEXTS = ["", "It's we'll 123 ab12 <|endoftext|>x<|startoftext|> <|end", "É ÉÑ Σας ΟΔΟΣ İstanbul ǅ ß\u3000x \x1c a\x1fb \x85",
+         "a" * 700, "ab" * 400 + "!" * 300, "the" * 85, *random_texts(400)]
+
+
+def test_encoding_and_decoding_match_the_library(library):
+    model = bpe.Bpe(vocabulary())
+    ids, counts = model.words.encode_texts(pa.array(TEXTS, pa.string()))
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    data, ends = model.decode_texts(ids.astype(np.int64), counts)
+    starts = np.concatenate([[0], ends])
+    for i, text in enumerate(TEXTS):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids[cuts[i]:cuts[i + 1]].tolist() == want, text
+        assert data[starts[i]:ends[i]].decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_library_words_match_whole_texts(library):
+    model = tokenio.LibraryEncoder(vocabulary())
+    ids, counts = model.words.encode_texts(pa.array(TEXTS, pa.string()))
+    want = [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_small_word_cache_changes_nothing():
+    model = bpe.Bpe(vocabulary())
+    model.words.limit = 3
+    all_ids, counts = bpe.Bpe(vocabulary()).words.encode_texts(pa.array(TEXTS))
+    for text, want in zip(TEXTS, np.split(all_ids, np.cumsum(counts)[:-1])):
+        assert model.words.encode_texts(pa.array([text]))[0].tolist() == want.tolist()
+
+
+def test_long_words_equal_short_word_merges():
+    model = bpe.Bpe(vocabulary())
+    word = [b"abcde"[i % 5] for i in range(90)]
+    symbols = model.inner[word]
+    rows = bpe.merge_rows(symbols[None, :], model.merges)[0]
+    assert rows[rows >= 0].tolist() == bpe.merge_long(symbols.tolist(), model.merges)
+
+
+@pytest.mark.parametrize("n", [0, 1, tokenio.BLOCK - 1, tokenio.BLOCK, tokenio.BLOCK + 1, 3 * tokenio.BLOCK + 5])
+def test_bit_planes_round_trip(n):
+    ids = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint32)
+    for values in (ids, ids % 49408, ids * 0):
+        assert (tokenio.unpack_ids(*tokenio.pack_ids(values), n) == values).all()
+
+
+def test_shards_query(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenio, "CHUNK_IDS", 500)
+    sf = as_table(str(tmp_path), documents=with_clashes(docs(spark)).repartition(5))
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"])
+                  for r in op2_token_shards(spark, sf).collect()), key=repr)
+    rows = {}
+    for r in awkward_rows():
+        ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, END_ID]
+        rows.setdefault(r[0], []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(((g[1], g[2], g[3]) for g in got), key=repr) == sorted(
+        ((d, *x) for d, xs in rows.items() for x in xs), key=repr)
+    at = 0  # in ascending id order, nulls first, every start is the number of ids before
+    for start, _, n, _ in sorted(got, key=lambda g: g[0]):
+        assert start == at
+        at += n
+    order = [g[1] for g in sorted(got, key=lambda g: g[0])]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+
+
+def test_round_trip_query(spark, library, tmp_path):
+    sf = as_table(str(tmp_path), documents=with_clashes(docs(spark)))
+    want = []
+    for r in awkward_rows():
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                     sha(library.decode(ids, skip_special_tokens=False))))
+    assert records(op6_bpe_round_trip(spark, sf), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = as_table(str(tmp_path), documents=spark.createDataFrame([], DOC_SCHEMA))
+    assert op2_token_shards(spark, sf).count() == 0
+    assert op6_bpe_round_trip(spark, sf).count() == 0
