@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from entailer.llm.common import lower_az
+from entailer.operators.fixpoint import pin
 
 K = 2
 GAP = 3  # neighbouring diagonals: at most this many words inserted or deleted
@@ -116,7 +117,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, texts=LICENSE_TEXTS) -> Data
     words, both label lists (distinct, sorted, comma-joined), and ``score``:
     1 with a base phrase, else the largest cover of a license text, else 0.
     """
-    voted = votes(docs, phrases, texts)
+    voted = pin(votes(docs, phrases, texts))  # read three times below
     places = voted.where(F.col("base") & (F.col("votes") == F.col("n_grams"))).select(
         "rid", "doc_id", "n_words", "label", F.lit(True).alias("base"),
         F.col("diag").alias("place"), F.lit(1.0).alias("cover"))
