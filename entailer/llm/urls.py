@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entailer.llm.common import lower_az
+from entailer.operators.fixpoint import pin
 
 ORDER = 5  # longest n-gram: contexts of up to 4 characters
 ALPHABET = 256  # the uniform base model gives every character 1 / ALPHABET
@@ -65,37 +66,47 @@ def _grams(urls: DataFrame) -> DataFrame:
         *urls.columns, F.substr(F.col("p"), F.col("i"), F.lit(ORDER)).alias("g"))
 
 
+def _terms(grams: DataFrame) -> DataFrame:
+    """``(k, suffix, c?, n?, t?)`` for every suffix of length k of an n-gram.
+
+    For each class (a, b): how often the suffix occurs, how often its context
+    (all but the last character), and how many characters follow the context.
+    """
+    suffixes = _suffixes(grams).groupBy("k", "suffix").agg(
+        F.sum("a").alias("ca"), F.sum("b").alias("cb")).withColumn(
+        "ctx", F.substr(F.col("suffix"), F.lit(1), F.col("k") - 1))
+    contexts = suffixes.groupBy("k", "ctx").agg(
+        *[F.sum("c" + c).alias("n" + c) for c in "ab"],
+        *[F.count_if(F.col("c" + c) > 0).alias("t" + c) for c in "ab"])
+    return suffixes.join(contexts, ["k", "ctx"]).drop("ctx")
+
+
+def _suffixes(grams: DataFrame) -> DataFrame:
+    return grams.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(ORDER)))).withColumn(
+        "suffix", F.substr(F.col("g"), F.lit(ORDER + 1) - F.col("k")))
+
+
 def model_table(grams: DataFrame) -> DataFrame:
     """``grams(g, a, b)`` (counts in accepted and rejected URLs) -> ``(g, llr)``.
 
-    ``llr`` is ln P_accepted(last char | context) - ln P_rejected(...). Level k
-    holds the distinct k-character suffixes; its probabilities interpolate the
-    counts of that level with the probabilities of level k - 1.
+    ``llr`` is ln P_accepted(last char | context) - ln P_rejected(...). The
+    probability of an n-gram interpolates those of its suffixes, shortest first:
+    ``P_k = (c + t P_{k-1}) / (n + t)``, or ``P_{k-1}`` where the context is new.
     """
-    level = grams.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    levels = {ORDER: level}
-    for k in range(ORDER - 1, 0, -1):
-        level = level.select(F.substr(F.col("g"), F.lit(2)).alias("g"), "a", "b").groupBy("g").agg(
-            F.sum("a").alias("a"), F.sum("b").alias("b"))
-        levels[k] = level
-    probs = None
-    for k in range(1, ORDER + 1):
-        here = levels[k].withColumn("ctx", F.substr(F.col("g"), F.lit(1), F.lit(k - 1)))
-        ctx = here.groupBy("ctx").agg(
-            *[F.sum(c).alias("n" + c) for c in "ab"],
-            *[F.count_if(F.col(c) > 0).alias("t" + c) for c in "ab"])
-        here = here.join(ctx, "ctx")
-        if probs is None:
-            here = here.withColumn("qa", F.lit(1.0 / ALPHABET)).withColumn("qb", F.lit(1.0 / ALPHABET))
-        else:
-            here = here.withColumn("low", F.substr(F.col("g"), F.lit(2))).join(
-                probs.select(F.col("g").alias("low"), F.col("pa").alias("qa"),
-                             F.col("pb").alias("qb")), "low")
-        probs = here.select("g", *[
-            F.when(F.col("n" + c) > 0, (F.col(c) + F.col("t" + c) * F.col("q" + c))
-                   / (F.col("n" + c) + F.col("t" + c))).otherwise(F.col("q" + c)).alias("p" + c)
-            for c in "ab"])
-    return probs.select("g", (F.ln("pa") - F.ln("pb")).alias("llr"))
+    grams = pin(grams.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    terms = pin(_terms(grams))
+    # One list of ORDER entries for each n-gram.
+    listed = _suffixes(grams.select("g")).join(terms, ["k", "suffix"]).groupBy("g").agg(F.sort_array(
+        F.collect_list(F.struct("k", *[x + c for c in "ab" for x in "cnt"]))).alias("terms"))
+
+    def step(c: str):
+        def fold(low: Column, x: Column) -> Column:
+            seen = (x["c" + c] + x["t" + c] * low) / (x["n" + c] + x["t" + c])
+            return F.when(x["n" + c] > 0, seen).otherwise(low)
+        return fold
+
+    prob = [F.aggregate("terms", F.lit(1.0 / ALPHABET), step(c)) for c in "ab"]
+    return listed.select("g", (F.ln(prob[0]) - F.ln(prob[1])).alias("llr"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -109,14 +120,14 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = split_url(F.col("url"))
     distinct = distinct.withColumn("host", host).withColumn("path", path)
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    distinct = distinct.withColumn("rule", rule).withColumn("by_rule", verdict)
+    distinct = pin(distinct.withColumn("rule", rule).withColumn("by_rule", verdict))
     scored = distinct.where(F.length("url") > 0).select(
         F.col("url").alias("s"),
         F.when(F.col("by_rule") == "allow", F.col("n")).otherwise(0).alias("a"),
         F.when(F.col("by_rule") == "block", F.col("n")).otherwise(0).alias("b"))
     grams = _grams(scored)
-    scores = grams.select("s", "a", "b", "g").join(model_table(grams), "g").groupBy("s").agg(
-        F.avg("llr").alias("d"), F.max("a").alias("a"), F.max("b").alias("b"))
+    scores = pin(grams.join(pin(model_table(grams)), "g").groupBy("s").agg(
+        F.avg("llr").alias("d"), F.max("a").alias("a"), F.max("b").alias("b")))
     threshold = scores.agg(*[e for c in "ab" for e in (
         F.sum(F.col("d") * F.col(c)).alias("s" + c), F.sum(F.col("d") * F.col("d") * F.col(c)).alias("q" + c),
         F.sum(c).alias("n" + c))])
