@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ from entailer.llm.common import map_batches, schema_of
 from entailer.llm.words import SPACE, Words, ranges, sub_batches
 
 LONG = 256
-CACHE_WORDS = 400_000
-BATCH_BYTES = 4 << 20
+CACHE_WORDS = 300_000
+BATCH_BYTES = 2 << 20
+BATCH_IDS = 1 << 18  # ids decoded at once; a longer text is decoded alone
+ROWS = 1 << 14  # words merged at once
 # Fixed value: the word pattern of the public vocabulary file, for lower-case
 # ASCII without white space.
 ASCII_PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -188,7 +191,7 @@ class WordCache:
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(int(ends[-1]), np.uint32)])
         self.ids[self.offsets[at]:ends[-1]] = np.fromiter(
-            (i for ids in lists for i in ids), np.uint32, int(lengths.sum()))
+            chain.from_iterable(lists), np.uint32, int(lengths.sum()))
         self.offsets[at + 1:at + 1 + len(words)] = ends
         self.index.update(zip(words, range(at, at + len(words))))
 
@@ -255,15 +258,16 @@ class Bpe:
         width = 1
         while width < 2 * LONG:
             rows = np.flatnonzero((lengths <= width) & (lengths > width // 2)) if width <= LONG else ()
-            if len(rows):
-                at = starts[rows, None] + np.arange(width)
-                inside = np.arange(width) < lengths[rows, None]
+            for a in range(0, len(rows), ROWS):
+                part = rows[a:a + ROWS]
+                at = starts[part, None] + np.arange(width)
+                inside = np.arange(width) < lengths[part, None]
                 block = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], -1)
                 merged = merge_rows(block, self.merges) if width > 1 else block
                 left = merged >= 0
                 flat, cuts = merged[left].tolist(), np.cumsum(left.sum(1)).tolist()
-                for row, a, b in zip(rows.tolist(), [0, *cuts], cuts):
-                    out[row] = flat[a:b]
+                for row, i, j in zip(part.tolist(), [0, *cuts], cuts):
+                    out[row] = flat[i:j]
             width *= 2
         for row in np.flatnonzero(lengths > LONG).tolist():
             out[row] = merge_long(symbols[starts[row]:ends[row]].tolist(), self.merges)
@@ -316,9 +320,26 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs(text, ...)`` with ``ids`` (array of int)."""
+def _decode(model: Bpe, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Decoded texts, a bounded number of ids at a time."""
+    total, parts, at = np.cumsum(counts), [], 0
+    while at < len(counts):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + BATCH_IDS, side="right")))
+        data, ends = model.decode_texts(ids[done:total[to - 1]], counts[at:to])
+        parts.append(pa.LargeStringArray.from_buffers(to - at, pa.py_buffer(
+            np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data)).cast(pa.string()))
+        at = to
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def encode(docs: DataFrame, vocabulary: str, keep: list[str], decoded: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``docs(text, ...)`` with ``ids`` (array of int).
+
+    ``decoded`` adds what :func:`decode` would give, in the same pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names = [*keep, "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = cached_model(Bpe, shared.value)
@@ -328,29 +349,28 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
                 lists = pa.ListArray.from_buffers(
                     pa.list_(pa.int32()), len(counts), [None, _offsets(np.cumsum(counts))],
                     children=[pa.array(ids.view(np.int32))])
+                texts = [_decode(model, ids, counts)] if decoded else []
                 yield pa.RecordBatch.from_arrays(
-                    [*(sub.column(c) for c in keep), lists], names=[*keep, "ids"])
+                    [*(sub.column(c) for c in keep), lists, *texts], names=names)
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = schema_of(docs, keep)
-    return map_batches(rows, run, schema + "ids array<int>")
+    return map_batches(rows, run, schema_of(docs, keep) + "ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``encoded(ids, ...)`` with ``decoded``: tokens joined by spaces."""
+    """Columns ``keep`` of ``encoded(ids, ...)`` with ``decoded``: tokens joined by spaces.
+
+    Null ids count as none.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = cached_model(Bpe, shared.value)
         for batch in batches:
             ids = batch.column("_ids")
-            flat = np.asarray(ids.flatten(), np.int64)
-            counts = np.diff(np.asarray(ids.offsets, np.int64))
-            data, ends = model.decode_texts(flat, counts)
-            texts = pa.LargeStringArray.from_buffers(
-                len(ids), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data))
+            texts = _decode(model, np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), texts.cast(pa.string())], names=[*keep, "decoded"])
+                [*(batch.column(c) for c in keep), texts], names=[*keep, "decoded"])
 
     rows = encoded.select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("_ids"))
     return map_batches(rows, run, schema_of(encoded, keep) + "decoded string")

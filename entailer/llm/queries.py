@@ -63,9 +63,7 @@ def op5_repetition_rules(spark, sf_dir):
 
 
 def op6_bpe_round_trip(spark, sf_dir):
-    text = vocabulary()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), text, ["doc_id"])
-    return bpe.decode(ids, text, ["doc_id", "ids"]).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"], decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

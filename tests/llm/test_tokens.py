@@ -101,6 +101,16 @@ def test_round_trip_query(spark, library, tmp_path):
     assert records(op6_bpe_round_trip(spark, sf), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
+def test_decode_operator_equals_the_one_pass_form(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_IDS", 50)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS[:80])], "doc_id long, text string")
+    one = bpe.encode(df, vocabulary(), ["doc_id"], decoded=True)
+    two = bpe.decode(bpe.encode(df, vocabulary(), ["doc_id"]), vocabulary(), ["doc_id", "ids"])
+    assert records(one) == records(two)
+    none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert records(bpe.decode(none, vocabulary(), ["doc_id"])) == [(1, "")]
+
+
 def test_empty_tables(spark, tmp_path):
     sf = as_table(str(tmp_path), documents=spark.createDataFrame([], DOC_SCHEMA))
     assert op2_token_shards(spark, sf).count() == 0
