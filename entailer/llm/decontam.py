@@ -53,6 +53,7 @@ SAMPLES = 3
 ROUNDS = 6
 ANCHORS = 4
 BLOCK_ITEMS = 10_000
+DP_CELLS = 200_000  # of one row of the edit-distance tables
 RARE_ITEMS = 4  # a word is rare if fewer items hold it
 
 MATCHES = "array<struct<item_id:long,distance:int,first_word:long,last_word:long>>"
@@ -194,7 +195,7 @@ def _verify(items: Items, h: np.ndarray, code: np.ndarray, known: np.ndarray, it
         pair = np.where(inside & known[at], q[:, None] * items.n_words + code[at], -1)
         slot = np.minimum(np.searchsorted(items.pairs, pair), len(items.pairs) - 1)
         enough = (items.pairs[slot] == pair).sum(1) >= size - k
-        for part in np.array_split(np.flatnonzero(enough), max(1, int(enough.sum()) // 2000)):
+        for part in np.array_split(np.flatnonzero(enough), 1 + int(enough.sum()) * width // DP_CELLS):
             if not len(part):
                 continue
             a = items.words[items.first[q[part]][:, None] + np.arange(size)]

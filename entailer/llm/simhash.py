@@ -53,6 +53,7 @@ from entailer.operators.sameas import same_as_clusters
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
+AT_ONCE = 1 << 17  # shingles hashed at once
 GENERATOR = 0b101011100011  # of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 LENGTH, CHECKS, RADIUS = 23, 11, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
@@ -66,9 +67,8 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """Unsigned fingerprints of all texts (A-Z lower-cased, words between ASCII space)."""
     w = Words(texts, SPACE)
-    out = np.zeros(len(texts), np.uint64)
     if not len(w):
-        return out
+        return np.zeros(len(texts), np.uint64)
     # All words one after the other, each followed by one space.
     lengths = w.ends - w.starts + 1
     ends = np.cumsum(lengths) - 1
@@ -82,15 +82,16 @@ def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     text = np.repeat(np.arange(len(texts)), counts)
     last = np.minimum(first + shingle, w.first[1:][text]) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(
-        starts[first].tolist(), ends[last].tolist())], ">u8")
-    some = np.flatnonzero(counts)
-    cuts = (np.cumsum(counts) - counts)[some]
-    bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
-    ones = np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-    major = np.packbits(2 * ones > counts[some, None], axis=1)
-    out[some] = np.ascontiguousarray(major).view(">u8")[:, 0]
-    return out
+    ones = np.zeros((len(texts), 64), np.int64)
+    for a in range(0, len(first), AT_ONCE):  # long texts are counted in parts
+        part = slice(a, a + AT_ONCE)
+        hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(
+            starts[first[part]].tolist(), ends[last[part]].tolist())], ">u8")
+        bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
+        cuts = np.flatnonzero(np.concatenate([[True], text[part][1:] != text[part][:-1]]))
+        ones[text[part][cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+    major = np.packbits(2 * ones > counts[:, None], axis=1)
+    return np.ascontiguousarray(major).view(">u8")[:, 0].astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
