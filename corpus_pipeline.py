@@ -55,8 +55,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a digest of their decoding."""
     text = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
-    ids = bpe.encode(docs, text, ["doc_id"])
-    return bpe.decode(ids, text, ["doc_id", "ids"]).select(
+    return bpe.encode(docs, text, ["doc_id"], decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
