@@ -24,6 +24,8 @@ table writes empty tables and reads back empty; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from entailer.llm.bpe import BATCH_BYTES, WordCache, cached_model
+from entailer.llm.bpe import ASCII_PATTERN, BATCH_BYTES, CACHE_WORDS, WordCache, cached_model
 from entailer.llm.common import map_batches
 from entailer.llm.words import sub_batches
 
@@ -43,36 +45,58 @@ BLOCK = 1 << 14
 CHUNK_IDS = 1 << 18
 PLANES = 32
 LEVEL = 3
+PRINTABLE = re.compile(rb"[!-~]+")
+# Letters between ASCII punctuation other than the apostrophe.
+LETTERS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 CHUNK_SCHEMA = ("shard int, chunk int, start long, n_ids long, doc_ids array<long>, "
                 "doc_lengths array<long>, plane_sizes array<int>, payload binary")
 
 
 class LibraryEncoder:
-    """Encodes distinct words with the library; recent words are kept.
+    """Encodes distinct words with the library; recent words and pieces are kept.
 
     Texts may be cut at ASCII white space, because this kind of vocabulary
-    drops white space between words. ASCII letters are a word of their own for
-    the library's front end, so they go straight to its model.
+    drops white space between words. Words are cut further where the file's word
+    pattern certainly cuts: printable ASCII by that pattern, other words into
+    letters between ASCII punctuation. Equal pieces are encoded once; any other
+    word is left whole. ASCII pieces are what the library's front end would
+    hand to its model, so they go straight there.
     """
 
     def __init__(self, text: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use every core already
         self.tokenizer = Tokenizer.from_str(text)
         self.words = WordCache(self.encode_words)
+        self.pieces: dict[bytes | str, list[int]] = {}
+
+    @staticmethod
+    def cut(word: bytes) -> list[bytes | str]:
+        """Pieces of a word: plain ASCII ones as bytes, others as strings."""
+        if b"<|" in word:  # may hold an added token
+            return [word.decode()]
+        if PRINTABLE.fullmatch(word):
+            return ASCII_PATTERN.findall(word.lower())
+        text = word.decode()
+        found = LETTERS.fullmatch(text)
+        if not found:
+            return [text]
+        before, core, after = found.groups()
+        return [*ASCII_PATTERN.findall(before.encode()), core, *ASCII_PATTERN.findall(after.encode())]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        rest, model = [], self.tokenizer.model
-        for i, word in enumerate(words):
-            if word.isascii() and word.isalpha():
-                out[i] = [t.id for t in model.tokenize(word.lower().decode())]
-            else:
-                rest.append(i)
-        found = self.tokenizer.encode_batch_fast([words[i].decode() for i in rest],
-                                                 add_special_tokens=False)
-        for i, e in zip(rest, found):
-            out[i] = e.ids
-        return out
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        known, tokenize = self.pieces, self.tokenizer.model.tokenize
+        parts = list(map(self.cut, words))
+        missing = {p for ps in parts for p in ps if p not in known}
+        for piece in missing:
+            if isinstance(piece, bytes):
+                known[piece] = [t.id for t in tokenize(piece.decode())]
+        rest = [p for p in missing if isinstance(p, str)]
+        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[piece] = found.ids
+        return [known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in parts]
 
 
 def pack_ids(ids: np.ndarray) -> tuple[bytes, list[int]]:
@@ -83,9 +107,10 @@ def pack_ids(ids: np.ndarray) -> tuple[bytes, list[int]]:
     compress = zstandard.ZstdCompressor(level=LEVEL).compress
     parts, sizes = [], []
     for block in padded.reshape(blocks, BLOCK):
-        bits = np.unpackbits(block.view(np.uint8).reshape(BLOCK, 4), axis=1, bitorder="little")
-        for plane in np.packbits(np.ascontiguousarray(bits.T), axis=1):
-            parts.append(compress(plane.tobytes()) if plane.any() else b"")
+        used = int(np.bitwise_or.reduce(block))
+        for k in range(PLANES):
+            plane = np.packbits((block >> np.uint32(k)).astype(np.uint8) & 1) if used >> k & 1 else None
+            parts.append(b"" if plane is None else compress(plane))
             sizes.append(len(parts[-1]))
     return b"".join(parts), sizes
 
@@ -93,18 +118,15 @@ def pack_ids(ids: np.ndarray) -> tuple[bytes, list[int]]:
 def unpack_ids(payload: bytes, sizes: list[int], n_ids: int) -> np.ndarray:
     """The inverse of :func:`pack_ids`."""
     blocks = len(sizes) // PLANES
-    planes = np.zeros((blocks, PLANES, BLOCK // 8), np.uint8)
+    out = np.zeros((blocks, BLOCK), "<u4")
     decompress = zstandard.ZstdDecompressor().decompress
     at = 0
     for k, size in enumerate(sizes):
         if size:
             raw = decompress(payload[at:at + size], max_output_size=BLOCK // 8)
-            planes[k // PLANES, k % PLANES] = np.frombuffer(raw, np.uint8)
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8))
+            out[k // PLANES] |= bits.astype(np.uint32) << np.uint32(k % PLANES)
             at += size
-    out = np.empty((blocks, BLOCK), "<u4")
-    for b in range(blocks):
-        bits = np.ascontiguousarray(np.unpackbits(planes[b], axis=1).T)
-        out[b] = np.packbits(bits, axis=1, bitorder="little").view("<u4")[:, 0]
     return out.reshape(-1)[:n_ids]
 
 
@@ -128,7 +150,7 @@ def _write_chunks(shared, end_id: int):
             ], names=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for sub in sub_batches(batch, "_text", BATCH_BYTES // 4):
+            for sub in sub_batches(batch, "_text", BATCH_BYTES):
                 ids, counts = model.words.encode_texts(sub.column("_text"))
                 parts.append(np.insert(ids, np.cumsum(counts), np.uint32(end_id)))
                 lengths.append(counts + 1)

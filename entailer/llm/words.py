@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SUB_BATCH_BYTES = 2 << 20  # texts handled at once; a longer text is handled alone
+SUB_BATCH_BYTES = 1 << 20  # texts handled at once; a longer text is handled alone
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
