@@ -39,7 +39,7 @@ from entailer.llm.common import map_batches, schema_of
 from entailer.llm.words import SPACE, Words, ranges, sub_batches
 
 LONG = 256
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 BATCH_BYTES = 2 << 20
 BATCH_IDS = 1 << 18  # ids decoded at once; a longer text is decoded alone
 ROWS = 1 << 14  # words merged at once

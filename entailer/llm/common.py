@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +49,36 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH_BYTES, BATCH_BYTES = "67108864b", 8 << 20  # Spark's default; ours
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package available to the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """``mapInArrow`` with this package available to the workers.
+
+    Unless the session says otherwise, an Arrow batch holds about 8 MiB, so that
+    long texts do not make large batches; workers return freed memory after
+    each task.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_BYTES_CONF, None) in (None, DEFAULT_BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES_CONF, str(BATCH_BYTES))
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def with_text(docs: DataFrame, keep: list[str], *more: Column) -> tuple[DataFrame, str]:

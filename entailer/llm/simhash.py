@@ -53,7 +53,8 @@ from entailer.operators.sameas import same_as_clusters
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-AT_ONCE = 1 << 17  # shingles hashed at once
+AT_ONCE = 1 << 16  # shingles hashed at once
+KEY_ROWS = 2048  # fingerprints given keys at once
 GENERATOR = 0b101011100011  # of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 LENGTH, CHECKS, RADIUS = 23, 11, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
@@ -164,8 +165,8 @@ def key_rows(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray, np.
 def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     golay = Golay()
     for batch in batches:
-        for at in range(0, batch.num_rows, 8192):
-            sub = batch.slice(at, 8192)
+        for at in range(0, batch.num_rows, KEY_ROWS):
+            sub = batch.slice(at, KEY_ROWS)
             rows, keys, sides = key_rows(sub.column("fp").to_numpy().view(np.uint64), golay)
             pick = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
