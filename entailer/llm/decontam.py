@@ -15,6 +15,11 @@ independent walks and samples reach the target recall.
   embedding is ``STEPS`` steps long, so that a walk's drift stays small; edits
   anywhere spoil only the anchors they touch. ``recall`` of the whole scheme is
   measured in the tests for passages with the largest allowed share of edits.
+* Such a walk would run off the end of an item of fewer than ``SHORT_WORDS`` words
+  and on into the words after its copy. These items are cut into one piece more
+  than they may have edits, so that one piece at least stands unchanged in any
+  match. Each piece is embedded on its own, to its own end and with every step
+  sampled, so no match of a short item is missed, whatever its edits.
 * All documents' windows of each item's size are looked at. A window within the
   allowed edits holds at least ``m - K`` words of the benchmark, and at least
   ``r - K`` of its ``r`` rare words; windows below both bounds are skipped, which
@@ -52,6 +57,8 @@ STEPS = 24
 SAMPLES = 3
 ROUNDS = 6
 ANCHORS = 4
+SHORT_WORDS = 20  # shorter items are searched for by their pieces
+PROPOSALS = 1 << 17  # of short items verified at once
 BLOCK_ITEMS = 10_000
 DP_CELLS = 200_000  # of one row of the edit-distance tables
 RARE_ITEMS = 4  # a word is rare if fewer items hold it
@@ -69,11 +76,16 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
 _WALK, _SAMPLED = _seeds()
 
 
-def cgk_keys(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, rnd: int) -> np.ndarray:
-    """Sampled CGK embedding of ``symbols[start:end]`` for all starts in one round."""
+def cgk_keys(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, rnd: int,
+             steps: np.ndarray | None = None) -> np.ndarray:
+    """Sampled CGK embedding of ``symbols[start:end]`` for all starts in one round.
+
+    ``steps`` are the sampled steps, ascending; those of the round by default.
+    """
     at, key = starts.copy(), np.full(len(starts), rnd + 1, U64)
-    sampled = set(_SAMPLED[rnd].tolist())
-    for step in range(int(_SAMPLED[rnd, -1]) + 1):
+    steps = _SAMPLED[rnd] if steps is None else steps
+    sampled = set(steps.tolist())
+    for step in range(int(steps[-1]) + 1):
         inside = at < ends
         word = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], U64(0))
         if step in sampled:
@@ -82,6 +94,12 @@ def cgk_keys(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, rnd: int
     return key
 
 
+def piece_keys(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Whole CGK embedding of the ``length`` words from each start, or up to its end."""
+    return cgk_keys(symbols, starts, np.minimum(starts + length, ends), 0,
+                    np.arange(min(3 * length, STEPS)))
+
+
 def _words(texts: pa.Array) -> Words:
     return Words(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), NOT_ALNUM)
 
@@ -114,18 +132,32 @@ class Items:
         self.sizes = np.unique(self.m)
         self.least = np.array([(n_rare - self.k)[self.m == s].min() for s in self.sizes])
         # Keys of all anchors: (round, key) -> item and the anchor's offset.
-        step = np.maximum(self.m - STEPS // 2, 0)[:, None]
+        long = np.flatnonzero(self.m >= SHORT_WORDS)
+        step = np.maximum(self.m[long] - STEPS // 2, 0)[:, None]
         offsets = (step * np.arange(ANCHORS) // max(ANCHORS - 1, 1))
-        self.item = np.repeat(np.arange(len(self.m)), ANCHORS)
+        self.item = np.repeat(long, ANCHORS)
         self.offset = offsets.ravel()
         starts = self.first[self.item] + self.offset
         ends = self.first[self.item + 1]
         self.keys, self.order = [], []
-        for rnd in range(ROUNDS):
+        for rnd in range(ROUNDS if len(long) else 0):
             key = cgk_keys(self.words, starts, ends, rnd)
             order = np.argsort(key, kind="stable")
             self.keys.append(key[order])
             self.order.append(order)
+        # Pieces of short items: (length, sorted keys, item, offset) for each length.
+        short = np.flatnonzero(self.m < SHORT_WORDS)
+        item = np.repeat(short, self.k[short] + 1)
+        piece, n_pieces = ranges(np.zeros(len(short), np.int64), self.k[short] + 1), self.k[item] + 1
+        offset = piece * self.m[item] // n_pieces
+        lengths = (piece + 1) * self.m[item] // n_pieces - offset
+        self.pieces = []
+        for length in np.unique(lengths).tolist():
+            of = np.flatnonzero(lengths == length)
+            starts = self.first[item[of]] + offset[of]
+            key = piece_keys(self.words, starts, starts + length, length)
+            order = np.argsort(key, kind="stable")
+            self.pieces.append((length, key[order], item[of][order], offset[of][order]))
 
 
 def _places(items: Items, h: np.ndarray, code: np.ndarray, known: np.ndarray,
@@ -145,19 +177,32 @@ def _places(items: Items, h: np.ndarray, code: np.ndarray, known: np.ndarray,
 
 
 def _proposals(items: Items, h: np.ndarray, places: np.ndarray,
-               end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+               end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Item, presumed first word, and place of every key that equals an item's key."""
     found_item, found_start, found_place = [], [], []
-    for rnd in range(ROUNDS):
+    for rnd, keys in enumerate(items.keys):
         key = cgk_keys(h, places, end[places], rnd)
-        lo = np.searchsorted(items.keys[rnd], key, side="left")
-        n = np.searchsorted(items.keys[rnd], key, side="right") - lo
+        lo = np.searchsorted(keys, key, side="left")
+        n = np.searchsorted(keys, key, side="right") - lo
         hit = np.flatnonzero(n)
         anchor = items.order[rnd][ranges(lo[hit], n[hit])]
         found_item.append(items.item[anchor])
         found_place.append(np.repeat(places[hit], n[hit]))
         found_start.append(found_place[-1] - items.offset[anchor])
-    return np.concatenate(found_item), np.concatenate(found_start), np.concatenate(found_place)
+    if found_item:
+        yield np.concatenate(found_item), np.concatenate(found_start), np.concatenate(found_place)
+    for length, keys, item, offset in items.pieces:
+        key = piece_keys(h, places, end[places], length)
+        lo = np.searchsorted(keys, key, side="left")
+        n = np.searchsorted(keys, key, side="right") - lo
+        hit = np.flatnonzero(n)
+        # Short pieces may be common: few proposals at a time.
+        total = np.cumsum(n[hit])
+        cuts = np.searchsorted(total, np.arange(PROPOSALS, total[-1] if len(hit) else 0, PROPOSALS))
+        for part in np.split(hit, cuts):
+            piece = ranges(lo[part], n[part])
+            place = np.repeat(places[part], n[part])
+            yield item[piece], place - offset[piece], place
 
 
 def _edit_distance(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,14 +272,14 @@ def find_matches(items: Items, texts: pa.Array) -> list[list[dict] | None]:
     places = _places(items, h, code, known, end)
     if not len(places):
         return out
-    item, start, place = _proposals(items, h, places, end)
-    own = text[place]
     best: dict[tuple[int, int], tuple] = {}
-    for q, lo, distance, first, last in _verify(
-            items, h, code, known, item, start, w.first[own], w.first[own + 1]):
-        for t, *row in zip(text[lo].tolist(), q.tolist(), distance.tolist(),
-                           (first - lo).tolist(), (last - lo).tolist()):
-            best[t, row[0]] = min(best.get((t, row[0]), tuple(row[1:])), tuple(row[1:]))
+    for item, start, place in _proposals(items, h, places, end):
+        own = text[place]
+        for q, lo, distance, first, last in _verify(
+                items, h, code, known, item, start, w.first[own], w.first[own + 1]):
+            for t, *row in zip(text[lo].tolist(), q.tolist(), distance.tolist(),
+                               (first - lo).tolist(), (last - lo).tolist()):
+                best[t, row[0]] = min(best.get((t, row[0]), tuple(row[1:])), tuple(row[1:]))
     for (t, q), (distance, first, last) in sorted(best.items()):
         out[t].append({"item_id": int(items.ids[q]), "distance": distance,
                        "first_word": first, "last_word": last})

@@ -61,6 +61,31 @@ def test_recall_at_every_allowed_share_of_edits():
         assert hits >= (200 if share == 0 else 190), (share, hits)
 
 
+def test_recall_at_every_size():
+    """From the smallest items up: exact copies inside a text, and the largest allowed share of edits."""
+    r = random.Random(17)
+    for m in range(decontam.MIN_ITEM_WORDS, 31):
+        entries = [text(m, r) for _ in range(150)]
+        items = decontam.Items(list(range(150)), [" ".join(e) for e in entries])
+        for k in (0, int(decontam.allowed(m))):
+            bodies = [text(30, r) + edited(e, k, r) + text(30, r) for e in entries]
+            found = decontam.find_matches(items, pa.array([" ".join(b) for b in bodies]))
+            hits = sum(any(x["item_id"] == q and x["distance"] == distance(entries[q], b) for x in ms)
+                       for q, (b, ms) in enumerate(zip(bodies, found)))
+            assert hits >= (150 if k == 0 or m < decontam.SHORT_WORDS else 143), (m, k, hits)
+
+
+def test_common_pieces_are_verified_in_parts(monkeypatch):
+    entries = [f"what is the {a} {b}" for a, b in zip(VOCAB[:300], VOCAB[300:600])]
+    items = decontam.Items(list(range(300)), entries)
+    texts = pa.array(["so " + ", and ".join(entries), "what is the " * 50, entries[7]])
+    want = decontam.find_matches(items, texts)
+    assert [m["item_id"] for m in want[0]] == list(range(300)) and not want[1]
+    assert all(m["distance"] == 0 for m in want[0]) and want[2][0]["item_id"] == 7
+    monkeypatch.setattr(decontam, "PROPOSALS", 100)
+    assert decontam.find_matches(items, texts) == want
+
+
 def test_every_report_is_exact():
     items = decontam.Items(list(range(60)), ITEMS)
     r = random.Random(11)
