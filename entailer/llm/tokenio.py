@@ -59,9 +59,12 @@ class LibraryEncoder:
     Texts may be cut at ASCII white space, because this kind of vocabulary
     drops white space between words. Words are cut further where the file's word
     pattern certainly cuts: printable ASCII by that pattern, other words into
-    letters between ASCII punctuation. Equal pieces are encoded once; any other
-    word is left whole. ASCII pieces are what the library's front end would
-    hand to its model, so they go straight there.
+    letters between ASCII punctuation. The library is asked about every letter
+    beside punctuation, for some turn into a letter and a mark, which it joins
+    with the punctuation, and its Unicode version decides what a letter is.
+    Equal pieces are encoded once; any other word is left whole. ASCII pieces are
+    what the library's front end would hand to its model, so they go straight
+    there.
     """
 
     def __init__(self, text: str):
@@ -69,9 +72,18 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(text)
         self.words = WordCache(self.encode_words)
         self.pieces: dict[bytes | str, list[int]] = {}
-
-    @staticmethod
-    def cut(word: bytes) -> list[bytes | str]:
+        self.letters: dict[str, bool] = {}
+
+    def cuts(self, letter: str) -> bool:
+        """Whether the library cuts between this letter and punctuation on both sides."""
+        known = self.letters.get(letter)
+        if known is None:
+            text = self.tokenizer.normalizer.normalize_str(f"?{letter}?")
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            known = self.letters[letter] = pieces[0][0] == pieces[-1][0] == "?"
+        return known
+
+    def cut(self, word: bytes) -> list[bytes | str]:
         """Pieces of a word: plain ASCII ones as bytes, others as strings."""
         if b"<|" in word:  # may hold an added token
             return [word.decode()]
@@ -82,6 +94,8 @@ class LibraryEncoder:
         if not found:
             return [text]
         before, core, after = found.groups()
+        if before and not self.cuts(core[0]) or after and not self.cuts(core[-1]):
+            return [text]
         return [*ASCII_PATTERN.findall(before.encode()), core, *ASCII_PATTERN.findall(after.encode())]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:

@@ -49,6 +49,20 @@ def test_library_words_match_whole_texts(library):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_every_code_point_beside_punctuation_matches_the_library(library):
+    """Some letters become a letter and a mark, which the library joins with punctuation."""
+    model = tokenio.LibraryEncoder(vocabulary())
+    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    for form in ("{}?", "?{}", "a{},"):
+        texts = [form.format(c) for c in points]
+        words = [t.encode() for t in texts]
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        got = model.encode_words(words)
+        assert [t for t, g, w in zip(texts, got, want) if g != w] == []
+    for t in ("হয়,", "নয়,", "तरफ़,", "HANGİ?", "(HANGİ)"):
+        assert model.encode_words([t.encode()]) == [library.encode(t, add_special_tokens=False).ids]
+
+
 def test_small_word_cache_changes_nothing():
     model = bpe.Bpe(vocabulary())
     model.words.limit = 3
