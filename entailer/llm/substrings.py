@@ -29,9 +29,10 @@ exchange.
 
 Defined cases: null and empty texts have no words; a text shorter than a window
 keeps all its words; rows that are equal in id and text repeat each other; rows
-with the same id and different texts are told apart by a hash of the text; a
-null id is a value of its own; an empty table gives an empty result; extra
-columns are ignored or carried along (``keep``).
+with the same id, or none, and different texts are told apart: ``_id`` is a 64-bit
+hash of id and text, and ``_th`` 23 bits of another hash of the text, so that 87
+bits name a text; an empty table gives an empty result; extra columns are ignored
+or carried along (``keep``).
 """
 
 from __future__ import annotations
@@ -50,8 +51,7 @@ from entailer.operators.fixpoint import pin
 
 WINDOW = 35
 KMER = 8
-NO_ID = -(1 << 63)
-# ``at``: hash of the text (23 bits), first window (32 bits), windows (8 bits).
+# ``at``: second hash of the text (23 bits), first window (32 bits), windows (8 bits).
 TEXT_SHIFT, FIRST_SHIFT = 40, 8
 FIRST_MASK, COUNT_MASK = (1 << 32) - 1, (1 << 8) - 1
 
@@ -222,8 +222,9 @@ def drop_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, kmer: i
         raise ValueError(f"need kmer <= window <= {COUNT_MASK}")
     text = F.col("text").cast("string")
     base = docs.select(
-        *keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1).cast("long")).alias("_th"), text.alias("_text"))
+        *keep, F.xxhash64(F.col("doc_id").cast("long"), text).alias("_id"),
+        F.hash(text).cast("long").bitwiseAND(F.lit((1 << 23) - 1).cast("long")).alias("_th"),
+        text.alias("_text"))
     spans = repeated_spans(base, window, kmer)
     rows = base.join(spans, ["_id", "_th"], "left").withColumn(
         "spans", F.coalesce("spans", F.array().cast("array<long>")))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from entailer.llm import substrings
 from tests.llm.helpers import DOC_SCHEMA, awkward_rows, docs, prose, records, with_clashes
@@ -52,6 +53,24 @@ def test_one_id_with_two_texts(spark):
                    "kept_text") == brute(rows, 35)
 
 
+@pytest.mark.parametrize("doc_id", [None, 1])
+def test_many_texts_under_one_id(spark, doc_id):
+    """Texts that share an id (or none) and 23 bits of their hash keep their own spans."""
+    mask = (1 << 23) - 1
+    long, short = prose(1, 90), prose(2, 36)
+    both = spark.createDataFrame([(f"{body} {tail}{i}", body == long) for body, tail in (
+        (long, "x"), (short, "y")) for i in range(9000)], "text string, long boolean").withColumn(
+        "h", F.xxhash64("text").bitwiseAND(F.lit(mask).cast("long"))).collect()
+    first = {r["h"]: r["text"] for r in both if r["long"]}
+    pairs = [(first[r["h"]], r["text"]) for r in both if not r["long"] and r["h"] in first]
+    assert pairs
+    texts = [t for pair in pairs[:1] for t in pair] + [f"other {long}", prose(3, 50)]
+    rows = [(doc_id, t, None, None, None) for t in texts]
+    got = records(substrings.drop_repeats(docs(spark, rows), ["doc_id"]), "doc_id", "n_words", "n_removed",
+                  "kept_text")
+    assert got == brute(rows, 35)
+
+
 def test_untouched_texts_stay_as_they_are(spark):
     rows = [(1, "a  b\n c ", None, None, None), (2, None, None, None, None)]
     got = records(substrings.drop_repeats(docs(spark, rows), ["doc_id"], collapse=False), "doc_id", "kept_text")
