@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from entailer.functions.vocab import expand_curie
 from entailer.operators.graph import TRIPLE_COLS, Graph, split_graph
 
-NT_LINE = r"^\s*(\S+)\s+(\S+)\s+(.+?)\s*\.?\s*$"
+# The object may hold any character; a closing dot alone is none.
+NT_LINE = r"(?s)^\s*(\S+)\s+(\S+)\s+(?!\.\s*\z)(\S.*?)\s*\.?\s*\z"
 
 
 # Characters that a line or a term may not hold, and their escapes.
 ESCAPES = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\f", "\\f"),
-           ("\x0b", "\\u000B")]
+           ("\x0b", "\\u000B"), ("\x85", "\\u0085"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")]
 SPACE, HASH = "\\u0020", "\\u0023"
 
 
@@ -147,7 +148,11 @@ def write_graph(graph: Graph, path: str, fmt: str = "nt", n: int | None = None,
 
 
 def read_graph(spark: SparkSession, path: str, fmt: str = "nt") -> Graph:
-    """Read back what :func:`write_graph` wrote."""
+    """Read back what :func:`write_graph` wrote; ``rejects`` as in :func:`load_graph`.
+
+    A triple with an empty object is written as a line that is no triple.
+    """
     root = path.rstrip("/")
-    return Graph(abox=read_triples(spark, root + "/instance", fmt),
-                 tbox=read_triples(spark, root + "/schema", fmt))
+    abox, rejects = read_triples(spark, root + "/instance", fmt, with_rejects=True)
+    tbox, more = read_triples(spark, root + "/schema", fmt, with_rejects=True)
+    return Graph(abox=abox, tbox=tbox, rejects=rejects.unionByName(more))

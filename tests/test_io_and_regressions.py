@@ -12,6 +12,7 @@ from entailer.plans.materialize import materialize_owl, materialize_rdfs
 from entailer.sources.triples import (
     load_graph,
     normalise_vocab,
+    parse_lines,
     read_graph,
     read_triples,
     write_graph,
@@ -155,6 +156,34 @@ def test_nt_sink_keeps_awkward_terms(spark, tmp_dir):
     assert rejects.count() == 0
 
 
+def test_unicode_line_breaks_survive(spark, tmp_dir):
+    """U+0085, U+2028 and U+2029 end no line: escaped by the sink, read raw as well."""
+    data = [("s", "p", f"a{c}b") for c in "\x85\u2028\u2029"] + [
+        ("s", "p", f"ends{c}") for c in "\x85\u2028\u2029"] + [
+        ("s", "p", "\u2028"), ("s\u2029", "p\x85", "."), ("s", "p", "\\u2028 \\u0085")]
+    df = spark.createDataFrame(data, "s string, p string, o string")
+    out = os.path.join(tmp_dir, "breaks")
+    write_graph(Graph(abox=df, tbox=df.limit(0)), out)
+    back = read_graph(spark, out)
+    assert rows(back.abox) == set(data) and back.rejects.count() == 0
+    raw = spark.createDataFrame([(f'<s> <p> "x{c}y{c}" .',) for c in "\x85\u2028\u2029"]
+                                + [("s p o\u2028",)], "value string")
+    triples, rejects = parse_lines(raw, "nt")
+    assert rejects.count() == 0
+    assert rows(triples) == {("<s>", "<p>", f'"x{c}y{c}"') for c in "\x85\u2028\u2029"} | {("s", "p", "o\u2028")}
+
+
+def test_read_graph_returns_rejects(spark, tmp_dir):
+    """Triples with an empty object come back as rejects, in no other form."""
+    df = spark.createDataFrame([("s", "p", ""), ("s", "p", "o")], "s string, p string, o string")
+    for fmt, n in (("nt", 2), ("parquet", 0)):
+        out = os.path.join(tmp_dir, "empty-" + fmt)
+        write_graph(Graph(abox=df, tbox=df), out, fmt=fmt)
+        back = read_graph(spark, out, fmt=fmt)
+        assert back.rejects.count() == n
+        assert rows(back.abox) == ({("s", "p", "o")} if n else rows(df))
+
+
 def test_write_graph_refuses_to_replace(spark, tmp_dir):
     g = Graph(abox=spark.createDataFrame([("a", "p", "b")], "s string, p string, o string"),
               tbox=spark.createDataFrame([], "s string, p string, o string"))
