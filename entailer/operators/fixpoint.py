@@ -114,6 +114,21 @@ def pin(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_in_place(df: DataFrame, buckets: int, *cols: str) -> DataFrame:
+    """Store ``df`` bucketed on ``cols`` without moving rows, and read it back.
+
+    For rows that lie together by ``cols`` already: each task writes one file for
+    every bucket that it holds. Joins and groups on ``cols`` then read them in place.
+    """
+    spark = df.sparkSession
+    name = "entailer_rows_" + uuid.uuid4().hex
+    path = state_path(spark, name)
+    _remember(spark, "table", name)
+    (df.write.format("parquet").bucketBy(min(buckets, MAX_BUCKETS), *cols)
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 def new_facts(candidates: DataFrame, known: DataFrame, on: Sequence[str] | None = None,
               partitions: int | None = None) -> DataFrame:
     """Distinct candidate rows that are not in ``known`` (U3 "subtract").
@@ -141,6 +156,7 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+MAX_BUCKETS = 100_000  # what Spark allows a table
 DEFAULT_BUCKET_BYTES = 128 * 1024 * 1024
 SMALL_BYTES = 1024 * 1024
 OUTGROWN = 4
