@@ -174,10 +174,20 @@ select doc_id, len(words)::bigint n_words, (len(words) - coalesce(n, 0))::bigint
 from docs left join kept using (rid)"""
 
 
+def op13() -> str:
+    return """
+with docs as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') t from documents)
+select doc_id, min(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
+  row_number() over (partition by t order by doc_id) = 1 kept, sha256(t) text_sha256
+from docs"""
+
+
 ORACLE_SQL = {
     "op3_chat_format": op3(),
     "op4_license_scan": op4(),
     "op5_repetition_rules": op5(),
     "op8_url_filter": op8(),
     "op10_substring_dedup": op10(),
+    "op13_exact_dedup": op13(),
 }

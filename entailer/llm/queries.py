@@ -6,7 +6,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from entailer.llm import bpe, chat, decontam, langid, licenses, repetition, simhash, substrings, tokenio, urls
+from entailer.llm import (
+    bpe,
+    chat,
+    decontam,
+    exact,
+    langid,
+    licenses,
+    repair,
+    repetition,
+    simhash,
+    substrings,
+    tokenio,
+    urls,
+    whitening,
+)
 from entailer.llm.common import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -91,6 +105,44 @@ def op10_substring_dedup(spark, sf_dir):
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def damaged(rows):
+    """Conversations with the faults that op 11 repairs, by a checksum of (conversation, turn)."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn"))) % 20
+    text = (F.when(fault == 1, F.lit("")).when(fault == 2, F.regexp_replace(plain("text"), "[.!?]", ""))
+            .otherwise(plain("text")))
+    role = F.when(fault == 4, F.lit("user")).otherwise(plain("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(fault == 3, F.lit(2)).otherwise(F.lit(1))))
+    return rows.where(fault != 0).select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = damaged(rows)
+    found = repair.repair_conversations(turns)
+    span = F.max("turn").cast("decimal(20,0)") - F.min("turn") + 1 - F.count_distinct("turn")
+    gaps = turns.groupBy("conv_id").agg(F.coalesce(span, F.lit(0)).try_cast("long").alias("gaps"))
+    lines = repair.digests(found.turns)
+    out = rows.select("conv_id").distinct()
+    for part in (gaps, found.conversations, lines):
+        part = part.withColumnRenamed("conv_id", "_id")
+        out = out.join(part, F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    nought = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select(
+        "conv_id", *[nought(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark, sf_dir):
+    return exact.exact_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
@@ -102,4 +154,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash_near_copies": op9_simhash_near_copies,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_exact_dedup": op13_exact_dedup,
 }
