@@ -24,7 +24,8 @@ from entailer.operators.graph import (
     types_of,
 )
 from entailer.plans.materialize import OwlSchema, materialize_owl, materialize_rdfs
-from entailer.plans.testgraph import derived_graph
+from entailer.plans.merged import materialize_owl_merged
+from entailer.plans.testgraph import derived_graph, merge_graph
 from entailer.operators.fixpoint import state_path
 from entailer.sources.triples import parse_lines, read_graph, write_graph
 
@@ -244,6 +245,11 @@ def materialize_owl_clusters(spark, sf_dir):
     return materialize_owl(derived_graph(spark, sf_dir), same_as="clusters").abox
 
 
+def materialize_owl_merged_q(spark, sf_dir):
+    """Rules and merging in one fixpoint."""
+    return materialize_owl_merged(merge_graph(spark, sf_dir)).abox
+
+
 def materialize_owl_schema(spark, sf_dir):
     return OwlSchema.of(derived_graph(spark, sf_dir).tbox).as_tbox()
 
@@ -287,4 +293,5 @@ QUERIES: dict[str, Query] = {
     "materialize_owl_transitive": materialize_owl_transitive,
     "materialize_owl_clusters": materialize_owl_clusters,
     "materialize_owl_schema": materialize_owl_schema,
+    "materialize_owl_merged": materialize_owl_merged_q,
 }

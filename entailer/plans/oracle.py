@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from entailer.functions import vocab as V
 from entailer.functions.vocab import expand_curie_sql
-from entailer.plans.testgraph import AXIOMS, PER_VALUE
+from entailer.plans.testgraph import AXIOMS, MERGE_AXIOMS, PER_VALUE
 
 # Naive rounds unrolled by the OWL materialisation oracle. The derived graph
 # reaches its fixpoint after 4 productive rounds; more rounds are harmless.
 OWL_ROUNDS = 8
+# Rounds of rules and merging together; a test asserts that the last one adds nothing.
+MERGE_ROUNDS = 12
 
 TYPE, SAME = V.RDF_TYPE, V.OWL_SAME_AS
 
@@ -38,7 +40,15 @@ select 'ex:doc'||doc_id,'ex:source_'||replace(source,' ','_'),'ex:'||replace(sou
 """
 
 
-def _tbox_raw() -> str:
+MERGE_ABOX = """
+select 'ex:doc'||doc_id s,'rdf:type' p,'ex:Quality'||quality o from labels union all
+select 'ex:rev'||doc_id,'ex:reviews','ex:doc'||doc_id from documents union all
+select 'ex:rev'||doc_id,'ex:award','ex:prize_'||replace(source,' ','_') from documents union all
+select 'ex:prize_'||replace(source,' ','_'),'ex:givenBy','ex:'||replace(source,' ','_') from documents
+"""
+
+
+def _tbox_raw(axioms=AXIOMS) -> str:
     def term(template: str, column: str) -> str:
         head, found, tail = template.partition("{}")
         return f"'{head}'" + (f"||replace({column},' ','_')||'{tail}'" if found else "")
@@ -46,7 +56,7 @@ def _tbox_raw() -> str:
     per_value = "".join(
         f"select distinct {term(s, c)},'{p}',{term(o, c)} from {t} where {c} is not null union all\n"
         for t, c, s, p, o in PER_VALUE)
-    values = ",\n ".join(f"('{s}','{p}','{o}')" for s, p, o in AXIOMS)
+    values = ",\n ".join(f"('{s}','{p}','{o}')" for s, p, o in axioms)
     return f"""
 select 'ex:Nation'||n_nationkey s,'rdfs:subClassOf' p,'ex:Region'||n_regionkey o from nation union all
 select 'ex:Region'||r_regionkey,'rdfs:subClassOf','ex:Place' from region union all
@@ -77,10 +87,10 @@ def _closure(name: str, pred: str) -> str:
 
 
 # CTEs every statement may use (unused ones cost nothing).
-def _prelude() -> str:
+def _prelude(abox: str = ABOX_RAW, axioms=AXIOMS) -> str:
     ctes = [
-        f"abox_raw AS ({ABOX_RAW})",
-        f"tbox_raw AS ({_tbox_raw()})",
+        f"abox_raw AS ({abox})",
+        f"tbox_raw AS ({_tbox_raw(axioms)})",
         f"abox AS MATERIALIZED ({_norm('abox_raw')})",
         f"tbox AS MATERIALIZED ({_norm('tbox_raw')})",
         _closure("sc", V.RDFS_SUBCLASS_OF),
@@ -130,22 +140,25 @@ def _links(f: str) -> str:
     return _links_fp(f) + "\nUNION\n" + _links_ifp(f)
 
 
-def _rules(f: str, transitive: bool = False) -> str:
-    """Every RDFS/OWL rule of the fixpoint applied once to fact table ``f``."""
+def _rules(f: str, transitive: bool = False, of: str = "") -> str:
+    """Every RDFS/OWL rule of the fixpoint applied once to fact table ``f``.
+
+    ``of`` is the suffix of the rule tables whose classes and values were merged.
+    """
     trans = (f"\nUNION ALL SELECT a.s, a.p, b.o FROM {f} a JOIN {f} b ON a.p = b.p AND a.o = b.s "
              "WHERE a.p IN (SELECT prop FROM trp)") if transitive else ""
     return f"""
 SELECT x.s, sp.o AS p, x.o FROM {f} x JOIN sp ON x.p = sp.s
-UNION ALL SELECT x.s, '{TYPE}', d.o FROM {f} x JOIN dom d ON x.p = d.s
-UNION ALL SELECT x.o, '{TYPE}', r.o FROM {f} x JOIN rng r ON x.p = r.s
-UNION ALL SELECT x.s, '{TYPE}', c.o FROM {f} x JOIN sc c ON x.p = '{TYPE}' AND x.o = c.s
+UNION ALL SELECT x.s, '{TYPE}', d.o FROM {f} x JOIN dom{of} d ON x.p = d.s
+UNION ALL SELECT x.o, '{TYPE}', r.o FROM {f} x JOIN rng{of} r ON x.p = r.s
+UNION ALL SELECT x.s, '{TYPE}', c.o FROM {f} x JOIN sc{of} c ON x.p = '{TYPE}' AND x.o = c.s
 UNION ALL SELECT x.o, x.p, x.s FROM {f} x WHERE x.p IN (SELECT prop FROM sym)
 UNION ALL SELECT x.o, i.inv, x.s FROM {f} x JOIN inv i ON x.p = i.prop
-UNION ALL SELECT x.s, '{TYPE}', h.v FROM {f} x JOIN hv h ON x.p = h.prop AND x.o = h.filler
-UNION ALL SELECT x.s, h.prop, h.filler FROM {f} x JOIN hv h ON x.p = '{TYPE}' AND x.o = h.v
-UNION ALL SELECT e.s, '{TYPE}', r.v FROM {f} e JOIN svf r ON e.p = r.prop
+UNION ALL SELECT x.s, '{TYPE}', h.v FROM {f} x JOIN hv{of} h ON x.p = h.prop AND x.o = h.filler
+UNION ALL SELECT x.s, h.prop, h.filler FROM {f} x JOIN hv{of} h ON x.p = '{TYPE}' AND x.o = h.v
+UNION ALL SELECT e.s, '{TYPE}', r.v FROM {f} e JOIN svf{of} r ON e.p = r.prop
   JOIN {f} t ON t.p = '{TYPE}' AND t.s = e.o AND t.o = r.filler
-UNION ALL SELECT e.o, '{TYPE}', r.filler FROM {f} e JOIN avf r ON e.p = r.prop
+UNION ALL SELECT e.o, '{TYPE}', r.filler FROM {f} e JOIN avf{of} r ON e.p = r.prop
   JOIN {f} t ON t.p = '{TYPE}' AND t.s = e.s AND t.o = r.v""" + trans
 
 
@@ -168,6 +181,35 @@ def _owl_rounds(transitive: bool = False) -> tuple[str, ...]:
     return tuple(ctes)
 
 
+def _merged_rounds() -> tuple[str, ...]:
+    """Rounds of rules and merging: facts ``m{i}`` over the clusters ``q{i}`` found so far."""
+    def to_ids(src: str, i: int, cols: str, *terms: str) -> str:
+        joins = " ".join(f"LEFT JOIN q{i} q{t} ON q{t}.member = x.{t}" for t in terms)
+        picked = ", ".join(f"coalesce(q{c}.id, x.{c}) AS {c}" if c in terms else f"x.{c}" for c in cols.split())
+        return f"SELECT DISTINCT {picked} FROM {src} x {joins}"
+
+    ctes = ["m0 AS MATERIALIZED (SELECT s, p, o FROM abox)",
+            "q0 AS MATERIALIZED (SELECT '' AS member, '' AS id WHERE false)"]
+    for i in range(1, MERGE_ROUNDS + 1):
+        a, tables = i - 1, f"_{i - 1}"
+        for name in ("dom", "rng"):
+            ctes.append(f"{name}{tables} AS MATERIALIZED ({to_ids(name, a, 's o', 'o')})")
+        ctes.append(f"sc{tables} AS MATERIALIZED ({to_ids('sc', a, 's o', 's', 'o')})")
+        for name in ("hv", "svf", "avf"):
+            ctes.append(f"{name}{tables} AS MATERIALIZED ({to_ids(name, a, 'v prop filler', 'v', 'filler')})")
+        ctes += [
+            f"link{i} AS MATERIALIZED (SELECT s, o FROM ({_links(f'm{a}')}) l "
+            f"UNION SELECT s, o FROM m{a} WHERE p = '{SAME}' AND s <> o UNION SELECT member, id FROM q{a})",
+            f"und{i}(a, b) AS (SELECT s, o FROM link{i} UNION SELECT o, s FROM link{i})",
+            f"reach{i}(a, b) AS (SELECT a, b FROM und{i} UNION "
+            f"SELECT r.a, u.b FROM reach{i} r JOIN und{i} u ON r.b = u.a)",
+            f"q{i} AS MATERIALIZED (SELECT a AS member, min(b) AS id FROM reach{i} GROUP BY a HAVING min(b) <> a)",
+            f"n{i} AS MATERIALIZED (SELECT s, p, o FROM m{a} UNION ALL SELECT * FROM ({_rules(f'm{a}', of=tables)}) r)",
+            f"m{i} AS MATERIALIZED ({to_ids(f'n{i}', i, 's p o', 's', 'o')})",
+        ]
+    return tuple(ctes)
+
+
 def _clusters_over(f: str) -> tuple[str, ...]:
     """Connected components (member, id) of the sameAs facts of ``f`` plus its OWL 1/2 links."""
     return (
@@ -290,6 +332,10 @@ SELECT s, p, o FROM {last}
 UNION SELECT member, '{SAME}', id FROM fcl
 UNION SELECT coalesce(a.id, t.s), t.p, coalesce(b.id, t.o) FROM {last} t
   LEFT JOIN fcl a ON a.member = t.s LEFT JOIN fcl b ON b.member = t.o WHERE t.p <> '{SAME}'""",
+        "materialize_owl_merged": _prelude(ABOX_RAW + " union all " + MERGE_ABOX, AXIOMS + MERGE_AXIOMS)
+        + _with(*_merged_rounds()) + f"""
+SELECT s, p, o FROM m{MERGE_ROUNDS} WHERE p <> '{SAME}'
+UNION ALL SELECT member, '{SAME}', id FROM q{MERGE_ROUNDS}""",
         "materialize_owl_schema": P + f"""
 SELECT s, p, o FROM tbox WHERE {IS_SCHEMA}
 UNION SELECT s, '{V.RDFS_SUBCLASS_OF}', o FROM sc

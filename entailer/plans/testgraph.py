@@ -54,6 +54,18 @@ AXIOMS = [
     ("ex:provenance", "rdfs:subPropertyOf", "ex:linkedTo"),
 ]
 
+# Further axioms for equality inside the fixpoint: a review whose document is good
+# (perhaps only by an equal document's label) wins; its prize is the winner's, and so on.
+MERGE_AXIOMS = [
+    ("ex:Awarded", "owl:someValuesFrom", "ex:Quality1"),
+    ("ex:Awarded", "owl:onProperty", "ex:reviews"),
+    ("ex:Awarded", "rdfs:subClassOf", "ex:Winner"),
+    ("ex:Winner", "owl:hasValue", "ex:winner"),
+    ("ex:Winner", "owl:onProperty", "ex:award"),
+    ("ex:award", "rdf:type", "owl:FunctionalProperty"),
+    ("ex:givenBy", "rdf:type", "owl:FunctionalProperty"),
+]
+
 # Schema triples per distinct value of a column: (table, column, s, p, o), where
 # ``{}`` in a term stands for the value (spaces become underscores).
 PER_VALUE = [
@@ -162,3 +174,19 @@ def raw_tbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """ABox and TBox, CURIEs expanded, each deduplicated (graphs are sets)."""
     return Graph(abox=prepare(raw_abox(spark, sf_dir)), tbox=prepare(raw_tbox(spark, sf_dir)))
+
+
+def merge_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The derived graph with reviews, prizes and labels, whose rules merge terms in turn."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    doc, rev = _term("ex:doc", "doc_id"), _term("ex:rev", "doc_id")
+    prize = _value("ex:prize_{}", "source")
+    more = union_all([
+        _t(labels, doc, "rdf:type", _term("ex:Quality", "quality")),
+        _many(docs, (rev, "ex:reviews", doc, None), (rev, "ex:award", prize, None)),
+        _t(docs.select("source").distinct(), prize, "ex:givenBy", _value("ex:{}", "source")),
+    ])
+    axioms = spark.createDataFrame(MERGE_AXIOMS, "s string, p string, o string")
+    return Graph(abox=prepare(raw_abox(spark, sf_dir).unionByName(more)),
+                 tbox=prepare(raw_tbox(spark, sf_dir).unionByName(axioms)))

@@ -52,6 +52,18 @@ def test_oracle_rounds_reach_the_fixpoint(con):
     assert seven == eight > 0
 
 
+def test_oracle_merge_rounds_reach_the_fixpoint(con):
+    """The last round of rules and merging changes neither facts nor clusters."""
+    from entailer.plans import oracle
+    a, b = oracle.MERGE_ROUNDS - 1, oracle.MERGE_ROUNDS
+    sql = (oracle._prelude(oracle.ABOX_RAW + " union all " + oracle.MERGE_ABOX, oracle.AXIOMS + oracle.MERGE_AXIOMS)
+           + oracle._with(*oracle._merged_rounds())
+           + f" SELECT (SELECT count(*) FROM (SELECT * FROM m{b} EXCEPT SELECT * FROM m{a})), "
+           f"(SELECT count(*) FROM (SELECT * FROM q{b} EXCEPT SELECT * FROM q{a})), (SELECT count(*) FROM q{b})")
+    facts, members, clusters = con.sql(sql).fetchall()[0]
+    assert (facts, members) == (0, 0) and clusters > 0
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
