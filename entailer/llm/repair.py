@@ -45,6 +45,7 @@ from entailer.operators.joins import join_back
 
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 BLOCK = 24
+TASK_TURNS = 100_000  # aligned by one task, about
 RUN_BITS = 8
 RUN_ROWS = 1 << RUN_BITS
 SPACES = " \t\n\x0b\x0c\r"
@@ -310,7 +311,9 @@ def aligned(turns: DataFrame) -> DataFrame:
     runs = letters.groupBy("cid", F.shiftright("pos", RUN_BITS).alias("run")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "letter"))).alias("turns"))
     runs = runs.select("cid", F.col("turns")[0]["pos"].alias("at"), F.array_join(F.col("turns.letter"), "").alias("letters"))
-    convs = runs.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("at", "letters"))).alias("runs"))
+    # Few bytes, much work: dealt out by the number of turns, not by size.
+    parts = max(turns.sparkSession.sparkContext.defaultParallelism, turns.count() // TASK_TURNS)
+    convs = runs.repartition(parts, "cid").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("at", "letters"))).alias("runs"))
     convs = convs.select("cid", F.col("runs.at").alias("at"), F.col("runs.letters").alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
