@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from entailer.functions import vocab as V
 from entailer.operators import closure, rules_owl as O, rules_rdfs as R, sameas as S
 from entailer.operators.fixpoint import new_facts, union_all
+from entailer.operators.reachability import owl4_compact as owl4_labels
 from entailer.operators.graph import (
     Graph,
     inverse_pairs,
@@ -27,7 +28,7 @@ from entailer.plans.materialize import OwlSchema, materialize_owl, materialize_r
 from entailer.plans.merged import materialize_owl_merged
 from entailer.plans.testgraph import derived_graph, merge_graph
 from entailer.operators.fixpoint import state_path
-from entailer.sources.triples import parse_lines, read_graph, write_graph
+from entailer.sources.triples import load_graph, parse_lines, read_graph, write_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +100,13 @@ def sink_round_trip(spark, sf_dir):
     return read_graph(spark, path, fmt="nt").triples()
 
 
+def load_graph_q(spark, sf_dir):
+    """S3: instances and schema from separate paths, written by S4 as text."""
+    path = state_path(spark, "load-graph")
+    write_graph(derived_graph(spark, sf_dir), path, fmt="nt")
+    return load_graph(spark, path + "/instance", path + "/schema", fmt="nt").triples()
+
+
 def property_kinds(spark, sf_dir):
     tbox = derived_graph(spark, sf_dir).tbox
     return union_all([properties_of_kind(tbox, c).select(F.lit(c).alias("kind"), "prop")
@@ -168,6 +176,18 @@ owl3 = _prop_rule(O.owl3, V.OWL_SYMMETRIC_PROPERTY)
 owl4 = _prop_rule(closure.owl4, V.OWL_TRANSITIVE_PROPERTY)
 
 
+def owl4_compact(spark, sf_dir):
+    """C4 by labels: which of some pairs per turn the transitive closure holds."""
+    g = derived_graph(spark, sf_dir)
+    found = owl4_labels(g.abox, properties_of_kind(g.tbox, V.OWL_TRANSITIVE_PROPERTY))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
+    term = lambda t: F.concat(F.lit("ex:conv"), F.col("conv_id"), F.lit("_"), t)
+    t, zero = F.col("turn"), F.lit(0)
+    pair = lambda a, b: F.struct(F.lit("ex:replyTo").alias("p"), term(a).alias("s"), term(b).alias("o"))
+    pairs = turns.select(F.explode(F.array(pair(t, zero), pair(t, t - 2), pair(zero, t), pair(t, t))).alias("x"))
+    return found.reachable(pairs.select("x.*"))
+
+
 def owl8(spark, sf_dir):
     g = derived_graph(spark, sf_dir)
     return O.owl8(g.abox, inverse_pairs(g.tbox))
@@ -263,6 +283,7 @@ QUERIES: dict[str, Query] = {
     "parse_nt": parse_nt,
     "rejects": rejects,
     "sink_round_trip": sink_round_trip,
+    "load_graph": load_graph_q,
     "property_kinds": property_kinds,
     "inverse_pairs": inverse_pairs_q,
     "restrictions": restrictions_q,
@@ -277,6 +298,7 @@ QUERIES: dict[str, Query] = {
     "owl2": owl2,
     "owl3": owl3,
     "owl4": owl4,
+    "owl4_compact": owl4_compact,
     "owl7_clusters": owl7_clusters,
     "cluster_members": cluster_members,
     "owl7_links": owl7_links,

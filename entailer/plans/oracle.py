@@ -278,6 +278,7 @@ FROM (SELECT s, p, o FROM abox UNION ALL SELECT DISTINCT s, p, o FROM ({_links_i
         "regexp_replace(text, '[\\s\\x0B\\\\]+', ' ', 'g') || '\"' AS o FROM documents WHERE text IS NOT NULL",
         "sink_round_trip": P + "\nSELECT 'ex:doc' || doc_id AS s, 'ex:text of' AS p, text AS o "
         "FROM documents WHERE text <> '' UNION ALL SELECT s, p, o FROM tbox",
+        "load_graph": P + "\nSELECT s, p, o FROM abox UNION ALL SELECT s, p, o FROM tbox",
         "property_kinds": P + f"\n{kinds}",
         "inverse_pairs": P + "\nSELECT prop, inv FROM inv",
         "restrictions": P + f"\n{restr}",
@@ -299,6 +300,14 @@ FROM (SELECT s, p, o FROM abox UNION ALL SELECT DISTINCT s, p, o FROM ({_links_i
             "tc(s, p, o) AS (SELECT s, p, o FROM te UNION "
             "SELECT c.s, c.p, e.o FROM tc c JOIN te e ON c.p = e.p AND c.o = e.s)",
         ) + "\nSELECT s, p, o FROM tc",
+        "owl4_compact": P + _with(
+            "te AS (SELECT DISTINCT s, p, o FROM abox WHERE p IN (SELECT prop FROM trp))",
+            "tc(s, p, o) AS (SELECT s, p, o FROM te UNION "
+            "SELECT c.s, c.p, e.o FROM tc c JOIN te e ON c.p = e.p AND c.o = e.s)",
+            "want AS (SELECT conv_id c, turn a, unnest([0, turn - 2, NULL]) b FROM conversations "
+            "UNION ALL SELECT conv_id, 0, turn FROM conversations UNION ALL SELECT conv_id, turn, turn FROM conversations)",
+        ) + "\nSELECT s, p, o FROM tc WHERE (p, s, o) IN (SELECT 'ex:replyTo', 'ex:conv' || c || '_' || a, "
+        "'ex:conv' || c || '_' || b FROM want WHERE b IS NOT NULL)",
         "owl7_clusters": P + cl + "\nSELECT member, id FROM cl",
         "cluster_members": P + cl + "\nSELECT id, count(*) AS n_members, max(member) AS max_member "
         "FROM (SELECT member, id FROM cl UNION ALL SELECT DISTINCT id, id FROM cl) m GROUP BY id",
