@@ -235,9 +235,12 @@ class FactStore:
 
     def _create(self) -> None:
         self.name = "entailer_facts_" + uuid.uuid4().hex
-        self.path = state_path(self.spark, self.name)
+        self.path = self._folder()
         _remember(self.spark, "table", self.name)
 
+    def _folder(self) -> str:
+        return state_path(self.spark, self.name)
+
     def _write(self, df: DataFrame) -> None:
         (df.write.mode("append").format("parquet").partitionBy("rnd")
          .bucketBy(self.buckets, *self.cols).option("path", self.path).saveAsTable(self.name))

@@ -26,6 +26,7 @@ from entailer.operators.graph import (
 )
 from entailer.plans.materialize import OwlSchema, materialize_owl, materialize_rdfs
 from entailer.plans.merged import materialize_owl_merged
+from entailer.plans.stored import extend, materialize_owl_at, read_materialized
 from entailer.plans.testgraph import derived_graph, merge_graph
 from entailer.operators.fixpoint import state_path
 from entailer.sources.triples import load_graph, parse_lines, read_graph, write_graph
@@ -270,6 +271,16 @@ def materialize_owl_merged_q(spark, sf_dir):
     return materialize_owl_merged(merge_graph(spark, sf_dir)).abox
 
 
+def materialize_owl_batch(spark, sf_dir):
+    """A stored materialisation of two thirds of the triples, extended by the rest."""
+    g = derived_graph(spark, sf_dir)
+    late = F.pmod(F.xxhash64("s", "p", "o"), F.lit(3)) == 0
+    path = state_path(spark, "materialised")
+    materialize_owl_at(Graph(abox=g.abox.where(~late), tbox=g.tbox), path)
+    extend(path, g.abox.where(late))
+    return read_materialized(spark, path).abox
+
+
 def materialize_owl_schema(spark, sf_dir):
     return OwlSchema.of(derived_graph(spark, sf_dir).tbox).as_tbox()
 
@@ -316,4 +327,5 @@ QUERIES: dict[str, Query] = {
     "materialize_owl_clusters": materialize_owl_clusters,
     "materialize_owl_schema": materialize_owl_schema,
     "materialize_owl_merged": materialize_owl_merged_q,
+    "materialize_owl_batch": materialize_owl_batch,
 }

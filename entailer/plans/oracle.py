@@ -334,6 +334,7 @@ SELECT s, p, o FROM tbox WHERE {IS_SCHEMA}
 UNION SELECT s, '{V.RDFS_SUBCLASS_OF}', o FROM sc
 UNION SELECT s, '{V.RDFS_SUBPROPERTY_OF}', o FROM sp""",
         "materialize_owl": P + rounds + f"\nSELECT s, p, o FROM {last} UNION {_links(last)}",
+        "materialize_owl_batch": P + rounds + f"\nSELECT s, p, o FROM {last} UNION {_links(last)}",
         "owl7_links": P + cl + f"\nSELECT member AS s, '{SAME}' AS p, id AS o FROM cl",
         "materialize_owl_transitive": P + trounds + f"\nSELECT s, p, o FROM {last} UNION {_links(last)}",
         "materialize_owl_clusters": P + rounds + fcl + f"""
