@@ -202,7 +202,7 @@ class WordCache:
         w = Words(texts, SPACE)
         if not len(w):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)[1:]
+        first, inverse = w.distinct()
         data = w.data.tobytes()
         words = [data[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
         missing = [x for x in words if x not in self.index]

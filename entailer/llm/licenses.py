@@ -8,8 +8,9 @@ deletions), and spans are verified word by word.
 
 * *Phrases* (the base labels) count where a diagonal holds every gram of the
   phrase: its words stand there consecutively.
-* *License texts* (labels of the method) need ``MIN_COVER`` of their grams on
-  neighbouring diagonals within a span that is not much longer than the text.
+* *License texts* (labels of the method) need ``MIN_COVER`` of their grams, each
+  counted once however often it votes, on neighbouring diagonals within a span that is
+  not much longer than the text.
 
 A hash match only becomes a vote after its words were compared, so spans hold
 verified words. Templates are a fixed list, which bounds the broadcast side.
@@ -33,6 +34,7 @@ from entailer.operators.fixpoint import pin
 K = 2
 GAP = 3  # neighbouring diagonals: at most this many words inserted or deleted
 MIN_COVER = 0.6  # share of a license text's grams that must vote
+MAX_GRAMS = 62  # of one template
 MAX_STRETCH = 1.5  # longest span, in lengths of the license text
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -58,9 +60,11 @@ LICENSE_TEXTS = [
 
 def template_grams(spark: SparkSession, phrases=PHRASES, texts=LICENSE_TEXTS) -> DataFrame:
     """``(h, tid, label, base, at, n_grams, w1, w2)``: one row per template gram."""
-    rows = []
+    rows = []  # a template's grams are marked in the bits of a long
     for tid, (text, label) in enumerate([*phrases, *texts]):
         words = re.findall(WORD, text)
+        if len(words) - K + 1 > MAX_GRAMS:
+            raise ValueError(f"a template has over {MAX_GRAMS} grams: split it: {text!r}")
         for at in range(len(words) - K + 1):
             rows.append((tid, label, tid < len(phrases), at, len(words) - K + 1, *words[at:at + K]))
     grams = spark.createDataFrame(
@@ -91,7 +95,8 @@ def votes(docs: DataFrame, phrases=PHRASES, texts=LICENSE_TEXTS) -> DataFrame:
         "rid", "doc_id", "n_words", "tid", "label", "base", "n_grams",
         (F.col("i") - 1 - F.col("at")).cast("long").alias("diag"), "at").groupBy(
         "rid", "doc_id", "n_words", "tid", "label", "base", "n_grams", "diag").agg(
-        F.count("at").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+        F.count("at").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"),
+        F.bit_or(F.expr("shiftleft(1L, at)")).alias("grams"))
 
 
 def spans(voted: DataFrame) -> DataFrame:
@@ -101,9 +106,9 @@ def spans(voted: DataFrame) -> DataFrame:
     runs = voted.withColumn("run", F.sum(new).over(
         by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return runs.groupBy("rid", "doc_id", "n_words", "tid", "label", "n_grams", "run").agg(
-        F.sum("votes").alias("votes"), F.min(F.col("diag") + F.col("lo")).alias("first"),
+        F.bit_count(F.bit_or("grams")).alias("grams"), F.min(F.col("diag") + F.col("lo")).alias("first"),
         F.max(F.col("diag") + F.col("hi") + K - 1).alias("last")).withColumn(
-        "cover", F.least(F.col("votes") / F.col("n_grams"), F.lit(1.0))).where(
+        "cover", F.col("grams") / F.col("n_grams")).where(
         (F.col("cover") >= MIN_COVER)
         & (F.col("last") - F.col("first") + 1 <= MAX_STRETCH * (F.col("n_grams") + K - 1)))
 

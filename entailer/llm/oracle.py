@@ -44,7 +44,8 @@ hits as (
   select rid, tid, label, base, n_grams, apos, i - 1 - apos as diag
   from pos join grams on words[i] || ' ' || words[i + 1] = g),
 diags as (
-  select rid, tid, label, base, n_grams, diag, count(*) as votes, min(apos) lo, max(apos) hi
+  select rid, tid, label, base, n_grams, diag, count(*) as votes, min(apos) lo, max(apos) hi,
+    bit_or(1::bigint << apos) as grams
   from hits group by all),
 places as (select rid, label, diag from diags where base and votes = n_grams),
 runs as (
@@ -52,9 +53,9 @@ runs as (
     select *, case when diag - lag(diag) over (partition by rid, tid order by diag) <= {licenses.GAP}
       then 0 else 1 end as new from diags where not base)),
 spans as (
-  select rid, label, least(sum(votes) / n_grams, 1.0) as cover from runs
+  select rid, label, bit_count(bit_or(grams)) / n_grams as cover from runs
   group by rid, tid, label, n_grams, run
-  having least(sum(votes) / n_grams, 1.0) >= {licenses.MIN_COVER}
+  having bit_count(bit_or(grams)) / n_grams >= {licenses.MIN_COVER}
     and max(diag + hi + 1) - min(diag + lo) + 1 <= {licenses.MAX_STRETCH} * (n_grams + 1)),
 per_base as (
   select rid, count(*) n_base, min(diag) first_word, max(diag) last_word from places group by rid),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entailer.llm.common import map_batches, schema_of, with_text
-from entailer.llm.words import SPACE, Rolling, Words, _BYTE, _BYTE_POWERS, covered, sub_batches
+from entailer.llm.words import SPACE, Words, covered, distinct_ranges, sub_batches
 
 MIN_WORDS = 50
 WINDOW = 3
@@ -109,7 +109,7 @@ def _duplicate_lines(w: Words) -> np.ndarray:
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     ends[inner] = starts[inner + 1] - 1
     has_word = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
-    h = Rolling(_BYTE[w.data], _BYTE_POWERS).of(starts, ends)[has_word]
+    h = distinct_ranges(w.data, starts, ends)[1][has_word]
     doc = doc[has_word]
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -130,7 +130,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     }
     if not n:
         return out | {c: np.zeros(docs, np.int64) for c in COUNTS[4:]}
-    word = np.unique(w.hashes(), return_inverse=True)[1]
+    word = w.distinct()[1]
     order, levels = suffix_ranks(text, word, w.first[text + 1])
     depth = longest_repeats(order, levels)
     at = np.arange(n)

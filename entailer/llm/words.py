@@ -49,7 +49,72 @@ class Powers:
         return self.up, self.down
 
 
-_BYTE_POWERS = Powers(0xD6E8FEB86659FD93)
+class Multipliers:
+    """A fixed odd multiplier for every offset inside a range, grown on demand."""
+
+    def __init__(self):
+        self.values = np.empty(0, U64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.values) < n:
+            size = max(n, 2 * len(self.values), 1 << 10)
+            self.values = mix(np.arange(1, size + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
+        return self.values
+
+
+_BY_OFFSET = Multipliers()
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of disjoint byte ranges, given in order.
+
+    Every offset has a multiplier of its own: powers of one base modulo ``2**64`` would
+    give some texts of regular structure equal hashes whatever the base.
+    """
+    if not len(starts):
+        return np.empty(0, U64)
+    at = np.arange(len(data))
+    begin = np.zeros(len(data) + 1, np.int64)
+    begin[starts] = starts
+    offset = at - np.maximum.accumulate(begin[:-1])
+    longest = int((ends - starts).max())
+    offset = np.minimum(offset, longest)  # bytes between ranges count for none
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[data] * _BY_OFFSET.upto(longest + 1)[offset], dtype=U64, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(U64) * U64(0xE7037ED1A0B428DB))
+
+
+CHECKED_BYTES = 1 << 18  # compared at once
+
+
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct byte range and, for every range, which one it equals.
+
+    Hashes find equal ranges; every range is then compared with the first of its
+    group byte by byte, so the result does not rest on them.
+    """
+    hashes = range_hashes(data, starts, ends)
+    first, inverse = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+    lengths, like = ends - starts, first[inverse]
+    equal = bool((lengths == lengths[like]).all())
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    at = 0
+    while equal and at < len(starts):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + CHECKED_BYTES, side="right")) - 1)
+        if to == at + 1:  # perhaps one long range
+            a, b = int(starts[at]), int(starts[like[at]])
+            equal = bool((data[a:a + lengths[at]] == data[b:b + lengths[at]]).all())
+        else:
+            mine = ranges(starts[at:to], lengths[at:to])
+            equal = bool((data[mine] == data[ranges(starts[like[at:to]], lengths[at:to])]).all())
+        at = to
+    if equal:
+        return first, inverse
+    ids: dict[bytes, int] = {}  # hashes collided: group by the bytes themselves
+    raw = data.tobytes()
+    inverse = np.fromiter((ids.setdefault(raw[a:b], len(ids)) for a, b in zip(starts.tolist(), ends.tolist())),
+                          np.int64, len(starts))
+    return np.unique(inverse, return_index=True)[1], inverse
 
 
 class Rolling:
@@ -118,7 +183,11 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        return Rolling(_BYTE[self.data], _BYTE_POWERS).of(self.starts, self.ends)
+        return range_hashes(self.data, self.starts, self.ends)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """First place of every distinct word, and each word's number; compared by bytes."""
+        return distinct_ranges(self.data, self.starts, self.ends)
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sum of per-byte flags for every text."""

@@ -41,3 +41,20 @@ def test_license_texts_with_edits(spark):
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def test_a_position_counts_once(spark):
+    """Repeating a few words of a license text does not make up the others."""
+    apache = licenses.LICENSE_TEXTS[1][0]
+    texts = ["with the license " * n for n in (4, 5, 400)] + ["in compliance with the license " * 6, apache,
+             apache + " " + "with the license " * 3, "the license " * 50 + "file " * 30 + apache]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(4)] == [("", 0.0)] * 4
+    assert got[4] == ("apache", 1.0) and got[6][0] == "apache"
+
+
+def test_long_templates_are_refused(spark):
+    import pytest
+    with pytest.raises(ValueError, match="split"):
+        licenses.template_grams(spark, texts=[("word " * 70, "x")])
