@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entailer.functions import vocab as V
+from entailer.functions.terms import term_parts
 from entailer.operators import closure, rules_owl as O, rules_rdfs as R, sameas as S
 from entailer.operators.fixpoint import new_facts, union_all
 from entailer.operators.reachability import owl4_compact as owl4_labels
@@ -101,6 +102,32 @@ def sink_round_trip(spark, sf_dir):
     return read_graph(spark, path, fmt="nt").triples()
 
 
+def _escaped_lines(spark, sf_dir):
+    """Lines of documents in which characters are spelled as escapes of every kind."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").isNotNull())
+    spelled = F.replace("text", F.lit("\\"), F.lit("\\\\"))
+    for plain, escape in [("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ('"', '\\"'), ("'", "\\'"), ("e", "\\u0065"),
+                          ("é", "\\u00E9"), ("ü", "\\U000000fC"), ("\u0085", "\\u0085"), ("\u2028", "\\u2028"),
+                          ("\u2029", "\\u2029"), ("\x0b", "\\u000B"), ("\x0c", "\\f"), ("\b", "\\b")]:
+        spelled = F.replace(spelled, F.lit(plain), F.lit(escape))
+    tail = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("@"), F.upper("lang")))
+            .when(F.col("doc_id") % 3 == 1, F.lit("^^<http://www.w3.org/2001/XMLSchema#string>"))
+            .otherwise(F.lit("^^<ex:note>")))
+    smile = F.when(F.col("doc_id") % 2 == 0, F.lit("\\uD83D\\uDE00")).otherwise(F.lit("\\U0001F600"))
+    return docs.select(F.concat(
+        F.lit("_:d"), F.col("doc_id"), F.lit(" <ex:\\u0074ext> \""), spelled, smile, F.lit('"'),
+        F.coalesce(tail, F.lit("")), F.lit(" .")).alias("value"))
+
+
+def nt_terms(spark, sf_dir):
+    """Terms in their parts; every spelling of a character meets its plain form."""
+    triples = parse_lines(_escaped_lines(spark, sf_dir), "nt")[0]
+    part = lambda c: term_parts(F.col(c))
+    return triples.select(
+        part("s")["kind"].alias("s_kind"), part("s")["value"].alias("s"), part("p")["kind"].alias("p_kind"),
+        part("p")["value"].alias("p"), part("o").alias("t")).select("s_kind", "s", "p_kind", "p", "t.*")
+
+
 def load_graph_q(spark, sf_dir):
     """S3: instances and schema from separate paths, written by S4 as text."""
     path = state_path(spark, "load-graph")
@@ -294,6 +321,7 @@ QUERIES: dict[str, Query] = {
     "parse_nt": parse_nt,
     "rejects": rejects,
     "sink_round_trip": sink_round_trip,
+    "nt_terms": nt_terms,
     "load_graph": load_graph_q,
     "property_kinds": property_kinds,
     "inverse_pairs": inverse_pairs_q,

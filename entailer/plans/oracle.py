@@ -278,6 +278,11 @@ FROM (SELECT s, p, o FROM abox UNION ALL SELECT DISTINCT s, p, o FROM ({_links_i
         "regexp_replace(text, '[\\s\\x0B\\\\]+', ' ', 'g') || '\"' AS o FROM documents WHERE text IS NOT NULL",
         "sink_round_trip": P + "\nSELECT 'ex:doc' || doc_id AS s, 'ex:text of' AS p, text AS o "
         "FROM documents WHERE text <> '' UNION ALL SELECT s, p, o FROM tbox",
+        "nt_terms": "SELECT 'blank' AS s_kind, 'd' || doc_id AS s, 'iri' AS p_kind, 'ex:text' AS p, 'literal' AS kind, "
+        "text || chr(128512) AS value, CASE WHEN doc_id % 3 = 0 THEN lower(lang) END AS lang, "
+        "CASE WHEN doc_id % 3 = 0 AND lang IS NOT NULL THEN '<http://www.w3.org/1999/02/22-rdf-syntax-ns#langString>' "
+        "WHEN doc_id % 3 = 2 THEN '<ex:note>' ELSE '<http://www.w3.org/2001/XMLSchema#string>' END AS datatype "
+        "FROM documents WHERE text IS NOT NULL",
         "load_graph": P + "\nSELECT s, p, o FROM abox UNION ALL SELECT s, p, o FROM tbox",
         "property_kinds": P + f"\n{kinds}",
         "inverse_pairs": P + "\nSELECT prop, inv FROM inv",

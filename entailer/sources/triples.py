@@ -10,7 +10,8 @@ Lines that do not yield three non-empty parts are returned as *rejects*
 instead of failing the job; a loaded graph carries them.
 
 Terms are written to ``nt`` lines with N-Triples escapes (backslash, line
-breaks, tabs, and spaces where they would end a term), which reading undoes.
+breaks, tabs, and spaces where they would end a term). Reading decodes every escape of
+N-Triples and gives equal literals one spelling (:mod:`entailer.functions.terms`).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entailer.functions.terms import canonical_term, decode_escapes
 from entailer.functions.vocab import expand_curie
 from entailer.operators.graph import TRIPLE_COLS, Graph, split_graph
 
@@ -46,15 +48,6 @@ def escape_term(c, inner_spaces: bool):
     return F.when(F.startswith(c, F.lit("#")), F.concat(F.lit(HASH), F.substr(c, F.lit(2)))).otherwise(c)
 
 
-def unescape_term(c):
-    """Undo :func:`escape_term`: between escaped backslashes, marks are plain."""
-    def piece(x):
-        for raw, mark in [*ESCAPES[1:], (" ", SPACE), ("#", HASH)]:
-            x = F.replace(x, F.lit(mark), F.lit(raw))
-        return x
-    return F.array_join(F.transform(F.split(c, r"\\\\"), piece), "\\")
-
-
 def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
@@ -68,13 +61,17 @@ def parse_lines(lines: DataFrame, fmt: str = "tokens") -> tuple[DataFrame, DataF
                               F.get(parts, 2).alias("o"))
     elif fmt == "nt":
         lines = lines.where(~F.ltrim(v).startswith("#"))  # N-Triples comments
-        parsed = lines.select(v, *[unescape_term(F.regexp_extract(v, NT_LINE, i + 1)).alias(c)
+        parsed = lines.select(v, *[F.regexp_extract(v, NT_LINE, i + 1).alias(c)
                                    for i, c in enumerate(TRIPLE_COLS)])
     else:
         raise ValueError(f"unknown line format {fmt!r}")
     ok = F.coalesce(
         (F.length("s") > 0) & (F.length("p") > 0) & (F.length("o") > 0), F.lit(False))
-    return parsed.where(ok).select(*TRIPLE_COLS), parsed.where(~ok).select("value")
+    triples, rejects = parsed.where(ok).select(*TRIPLE_COLS), parsed.where(~ok).select("value")
+    if fmt == "nt":  # step by step, so that no step's expression is repeated inside the next
+        for step in (decode_escapes, canonical_term):
+            triples = triples.select(*[step(F.col(c)).alias(c) for c in TRIPLE_COLS])
+    return triples, rejects
 
 
 def read_triples(spark: SparkSession, paths: str | Sequence[str], fmt: str = "tokens",
