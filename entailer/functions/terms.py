@@ -6,6 +6,8 @@ decoded: ``\\u00E9`` and a plain ``é``, or a surrogate pair and ``\\U0001F600``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,19 @@ PIECES = (rf"(?s)\\u[dD][89abAB]{HEX}{{2}}\\u[dD][c-fC-F]{HEX}{{2}}"
           r"|\\[^uU]|[^\\]+|\\")
 
 
+def bound(c: Column, expr: Callable[[Column], Column]) -> Column:
+    """``expr(c)`` with ``c`` written once, however often ``expr`` names it.
+
+    Filters above are pushed through and repeat the whole expression otherwise.
+    """
+    return F.get(F.transform(F.array(c), expr), F.lit(0))
+
+
+def read_term(c: Column) -> Column:
+    """A term of an N-Triples line: escapes decoded, equal literals spelled alike."""
+    return bound(bound(c, decode_escapes), canonical_term)
+
+
 def decode_escapes(c: Column) -> Column:
     """Every N-Triples escape decoded; what is no escape stays as it is."""
     def piece(x: Column) -> Column:

@@ -22,7 +22,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entailer.functions.terms import canonical_term, decode_escapes
+from entailer.functions.terms import read_term
 from entailer.functions.vocab import expand_curie
 from entailer.operators.graph import TRIPLE_COLS, Graph, split_graph
 
@@ -68,9 +68,8 @@ def parse_lines(lines: DataFrame, fmt: str = "tokens") -> tuple[DataFrame, DataF
     ok = F.coalesce(
         (F.length("s") > 0) & (F.length("p") > 0) & (F.length("o") > 0), F.lit(False))
     triples, rejects = parsed.where(ok).select(*TRIPLE_COLS), parsed.where(~ok).select("value")
-    if fmt == "nt":  # step by step, so that no step's expression is repeated inside the next
-        for step in (decode_escapes, canonical_term):
-            triples = triples.select(*[step(F.col(c)).alias(c) for c in TRIPLE_COLS])
+    if fmt == "nt":
+        triples = triples.select(*[read_term(F.col(c)).alias(c) for c in TRIPLE_COLS])
     return triples, rejects
 
 
