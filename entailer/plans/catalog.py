@@ -14,6 +14,8 @@ from entailer.functions import vocab as V
 from entailer.functions.terms import term_parts
 from entailer.operators import closure, rules_owl as O, rules_rdfs as R, sameas as S
 from entailer.operators.fixpoint import new_facts, union_all
+from entailer.operators.joins import measure
+from entailer.operators.merging import Forest, expanded
 from entailer.operators.reachability import owl4_compact as owl4_labels
 from entailer.operators.graph import (
     Graph,
@@ -265,6 +267,13 @@ def owl11(spark, sf_dir):
     return S.owl11(g.abox, clusters)
 
 
+def owl11_expanded(spark, sf_dir):
+    """J14 on demand: the text hashes of all documents, over every equal document."""
+    g, clusters = _clusters(spark, sf_dir)
+    facts = Forest(measure(clusters)).canonical(S.owl11(g.abox, clusters))
+    return expanded(facts.where(F.col("p") == "ex:textHash"), clusters)
+
+
 def materialize_rdfs_derived(spark, sf_dir):
     return materialize_rdfs(derived_graph(spark, sf_dir), output="derived").abox
 
@@ -343,6 +352,7 @@ QUERIES: dict[str, Query] = {
     "owl7_links": owl7_links,
     "owl8": owl8,
     "owl11": owl11,
+    "owl11_expanded": owl11_expanded,
     "owl14a": owl14a,
     "owl14b": owl14b,
     "owl15": owl15,

@@ -322,6 +322,11 @@ SELECT s, p, o FROM abox WHERE p <> '{SAME}'
 UNION
 SELECT coalesce(a.id, t.s) AS s, t.p, coalesce(b.id, t.o) AS o FROM abox t
   LEFT JOIN cl a ON a.member = t.s LEFT JOIN cl b ON b.member = t.o WHERE t.p <> '{SAME}'""",
+        "owl11_expanded": P + cl + """, mem AS (SELECT member, id FROM cl UNION SELECT id, id FROM cl),
+can AS (SELECT DISTINCT coalesce(a.id, t.s) AS s, t.p, coalesce(b.id, t.o) AS o FROM abox t
+  LEFT JOIN cl a ON a.member = t.s LEFT JOIN cl b ON b.member = t.o WHERE t.p = 'ex:textHash')
+SELECT coalesce(a.member, c.s) AS s, c.p, coalesce(b.member, c.o) AS o FROM can c
+  LEFT JOIN mem a ON a.id = c.s LEFT JOIN mem b ON b.id = c.o""",
         "owl14a": _single(f"SELECT x.s, '{TYPE}' AS p, h.v AS o FROM abox x "
                           "JOIN hv h ON x.p = h.prop AND x.o = h.filler"),
         "owl14b": _single("SELECT x.s, h.prop AS p, h.filler AS o FROM abox x "

@@ -169,6 +169,26 @@ def test_empty_and_null_triples(spark):
     assert rows(got) == {("a", "p", "b")}
 
 
+def test_expansion_on_demand(spark, monkeypatch):
+    """The twenty substitutions of one triple between two clusters; sized first, in blocks."""
+    import pytest
+    from entailer.operators import merging, sameas
+
+    pairs = [("v", "w"), ("w", "u"), ("u", "x"), ("a", "x"), ("d", "c"), ("d", "f"), ("g", "d")]
+    clusters = sameas.same_as_clusters(spark.createDataFrame(pairs, "a string, b string"))
+    facts = spark.createDataFrame([("a", "p", "c"), ("z", "p", "z"), ("z", "q", "a")], TRIPLES)
+    twenty = {(s, "p", o) for s in "auvwx" for o in "cdfg"}
+    more = {("z", "p", "z")} | {("z", "q", o) for o in "auvwx"}
+    for block in (1000, 2):
+        monkeypatch.setattr(merging, "EXPANSION_BLOCK", block)
+        asked = spark.createDataFrame([("g",)], "term string")
+        assert rows(merging.expanded(facts, clusters, asked)) == twenty
+        got = merging.expanded(facts, clusters)
+        assert got.count() == 26 and rows(got) == twenty | more
+    with pytest.raises(ValueError, match="fewer"):
+        merging.expanded(facts, clusters, max_rows=25)
+
+
 def test_measured_sides_only(spark):
     """A forest side is broadcast only after it was measured."""
     f = Forest()
