@@ -169,11 +169,13 @@ def merge_long(symbols: list[int], merges: Merges) -> list[int]:
 class WordCache:
     """Distinct words of batches -> ids, with recent words kept.
 
-    ``encode`` gives the id lists of words that are not kept yet.
+    ``encode`` gives the id lists of words that are not kept yet; ``split`` finds the
+    words of texts (between white space unless given).
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = CACHE_WORDS):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = CACHE_WORDS,
+                 split: Callable[[pa.Array], Words] = lambda texts: Words(texts, SPACE)):
+        self.encode, self.limit, self.split = encode, limit, split
         self._clear()
 
     def _clear(self) -> None:
@@ -199,12 +201,10 @@ class WordCache:
         """Ids of all texts one after the other and the number of each text's ids."""
         if len(self.index) > self.limit:
             self._clear()
-        w = Words(texts, SPACE)
+        w = self.split(texts)
         if not len(w):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        first, inverse = w.distinct()
-        data = w.data.tobytes()
-        words = [data[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
+        words, inverse = w.vocabulary()
         missing = [x for x in words if x not in self.index]
         if missing:
             self._add(missing)

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,41 +37,153 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from entailer.llm.bpe import ASCII_PATTERN, BATCH_BYTES, CACHE_WORDS, WordCache, cached_model
+from entailer.llm.bpe import BATCH_BYTES, CACHE_WORDS, WordCache, cached_model
 from entailer.llm.common import map_batches
-from entailer.llm.words import sub_batches
+from entailer.llm.words import SPACE, Words, ranges, sub_batches
 
 BLOCK = 1 << 14
 CHUNK_IDS = 1 << 18
 PLANES = 32
+CACHE_PIECES = 400_000
 LEVEL = 3
 PRINTABLE = re.compile(rb"[!-~]+")
-# Letters between ASCII punctuation other than the apostrophe.
-LETTERS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = re.compile(r"[^\W\d_]+")
+# Kinds of bytes inside words; the bytes of all other code points count as letters.
+LETTER, DIGIT, SIGN, CONTROL = 1, 2, 3, 4
+KIND = np.full(256, CONTROL, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[[i for i in range(256) if i >= 0x80 or chr(i).isalpha()]] = LETTER
+KIND[ord("0"):ord("9") + 1] = DIGIT
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed by the file's word pattern
 
 CHUNK_SCHEMA = ("shard int, chunk int, start long, n_ids long, doc_ids array<long>, "
                 "doc_lengths array<long>, plane_sizes array<int>, payload binary")
 
 
+def _cut_contractions(cut: np.ndarray, data: np.ndarray, quotes: np.ndarray,
+                      word: np.ndarray, ends: np.ndarray) -> None:
+    """Cut after a contraction instead of after its quote."""
+    end = ends[word[quotes]]
+    for letters in CONTRACTIONS:
+        fits = quotes + len(letters) < end
+        at, last = quotes[fits], end[fits]
+        same = np.ones(len(at), bool)
+        for i, letter in enumerate(letters.encode(), 1):
+            same &= data[at + i] == letter
+        cut[at[same] + 1] = False
+        after = at[same] + 1 + len(letters)
+        cut[after[after < last[same]]] = True
+
+
+class Pieces(Words):
+    """Parts of a batch's words that the library encodes apart as it does together.
+
+    Texts may be cut at ASCII white space, because this kind of vocabulary drops
+    white space between words. Words are cut further where the file's word pattern
+    certainly cuts, all words of a batch at once on their bytes: printable ASCII
+    words by that pattern, after lower-casing; others between ASCII punctuation and
+    runs of letters, if ``sure`` says of every run that it is cut off there. Any
+    other word is left whole and in its own case.
+    """
+
+    def __init__(self, texts: pa.Array, sure: Callable[[bytes], bool]):
+        super().__init__(texts, SPACE)
+        if not len(self):
+            return
+        raw, begin, end = self.data, self.starts, self.ends
+        kind = KIND[raw]
+        word = np.cumsum(np.bincount(begin, minlength=len(raw)), dtype=np.int64) - 1  # of each byte
+
+        def words_with(bytes_: np.ndarray) -> np.ndarray:
+            found = np.zeros(len(begin), bool)
+            found[word[np.flatnonzero(bytes_ & self.inside)]] = True
+            return found
+
+        quote = raw == ord("'")
+        opens = np.zeros(len(raw), bool)  # perhaps an added token
+        opens[:-1] = (raw[:-1] == ord("<")) & (raw[1:] == ord("|")) & (word[:-1] == word[1:])
+        wide = words_with(raw >= 0x80)
+        whole = words_with(opens | (kind == CONTROL)) | wide & words_with(quote | (kind == DIGIT))
+        mixed = wide & ~whole & words_with(kind == SIGN)
+
+        self.data = LOWER[raw]
+        kept = ranges(begin[wide | whole], (end - begin)[wide | whole])
+        self.data[kept] = raw[kept]
+        cut = np.empty(len(raw), bool)
+        cut[0], cut[1:] = True, (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        cut[begin] = True
+        # A quote after other punctuation belongs to that run; cuts show where it does not.
+        quotes = np.flatnonzero(quote & self.inside & cut)
+        _cut_contractions(cut, self.data, quotes, word, end)
+
+        def divide(whole: np.ndarray) -> None:
+            cut[ranges(begin[whole] + 1, (end - begin)[whole] - 1)] = False
+            self.starts = np.flatnonzero(cut & self.inside)
+            self.ends = np.minimum(np.append(self.starts[1:], len(raw)), end[word[self.starts]])
+
+        divide(whole)
+        runs = np.flatnonzero(mixed[word[self.starts]] & (kind[self.starts] == LETTER))
+        spelled = raw.tobytes()
+        unsure = [a for a, b in zip(self.starts[runs].tolist(), self.ends[runs].tolist())
+                  if not sure(spelled[a:b])]
+        if unsure:
+            whole[word[unsure]] = True
+            divide(whole)
+        self.first = np.searchsorted(self.starts, self.bounds)
+        self.counts = np.diff(self.first)
+
+    def vocabulary(self) -> tuple[list[bytes], np.ndarray]:
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [
+            None, pa.py_buffer(offsets), pa.py_buffer(self.data[self.inside])])
+        found = pieces.dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.to_numpy()
+
+
+class Spelling(dict):
+    """Letters of pieces as the library's model gets them, for ``str.translate``.
+
+    A letter below ``SIMPLE`` is asked about once, between two others: it must stand in
+    one piece with them and be spelled alike beside them. (No letter in this range joins
+    one before it into a new letter.) Any other character becomes ``OTHER``.
+    """
+
+    OTHER = "\0"
+    SIMPLE = 0x530  # Latin, Greek and Cyrillic
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+
+    def spelled(self, text: str) -> list[str]:
+        text = self.tokenizer.normalizer.normalize_str(text)
+        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def __missing__(self, code: int) -> str:
+        letter = chr(code)
+        found = self.spelled(letter) if code < self.SIMPLE and letter.isalpha() else []
+        alike = len(found) == 1 and self.spelled(f"a{letter}a") == [f"a{found[0]}a"]
+        self[code] = found[0] if alike else self.OTHER
+        return self[code]
+
+
 class LibraryEncoder:
-    """Encodes distinct words with the library; recent words and pieces are kept.
-
-    Texts may be cut at ASCII white space, because this kind of vocabulary
-    drops white space between words. Words are cut further where the file's word
-    pattern certainly cuts: printable ASCII by that pattern, other words into
-    letters between ASCII punctuation. The library is asked about every letter
-    beside punctuation, for some turn into a letter and a mark, which it joins
-    with the punctuation, and its Unicode version decides what a letter is.
-    Equal pieces are encoded once; any other word is left whole. ASCII pieces are
-    what the library's front end would hand to its model, so they go straight
-    there.
+    """Encodes distinct pieces with the library; recent ones are kept.
+
+    The library is asked about every letter beside punctuation, for some turn into a
+    letter and a mark, which it joins with the punctuation, and its Unicode version
+    decides what a letter is. ASCII pieces are what the library's front end would
+    hand to its model, and other letters are spelled as it would, so they go straight
+    there; what is left passes through all of the library.
     """
 
     def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use every core already
         self.tokenizer = Tokenizer.from_str(text)
-        self.words = WordCache(self.encode_words)
-        self.pieces: dict[bytes | str, list[int]] = {}
+        self.spelling = Spelling(self.tokenizer)
+        self.words = WordCache(self.encode_pieces, CACHE_PIECES, lambda texts: Pieces(texts, self.sure))
+        self.runs: dict[bytes, bool] = {}
         self.letters: dict[str, bool] = {}
 
     def cuts(self, letter: str) -> bool:
@@ -83,34 +195,35 @@ class LibraryEncoder:
             known = self.letters[letter] = pieces[0][0] == pieces[-1][0] == "?"
         return known
 
-    def cut(self, word: bytes) -> list[bytes | str]:
-        """Pieces of a word: plain ASCII ones as bytes, others as strings."""
-        if b"<|" in word:  # may hold an added token
-            return [word.decode()]
-        if PRINTABLE.fullmatch(word):
-            return ASCII_PATTERN.findall(word.lower())
-        text = word.decode()
-        found = LETTERS.fullmatch(text)
-        if not found:
-            return [text]
-        before, core, after = found.groups()
-        if before and not self.cuts(core[0]) or after and not self.cuts(core[-1]):
-            return [text]
-        return [*ASCII_PATTERN.findall(before.encode()), core, *ASCII_PATTERN.findall(after.encode())]
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        known, tokenize = self.pieces, self.tokenizer.model.tokenize
-        parts = list(map(self.cut, words))
-        missing = {p for ps in parts for p in ps if p not in known}
-        for piece in missing:
-            if isinstance(piece, bytes):
-                known[piece] = [t.id for t in tokenize(piece.decode())]
-        rest = [p for p in missing if isinstance(p, str)]
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[piece] = found.ids
-        return [known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in parts]
+    def sure(self, run: bytes) -> bool:
+        """Whether a run is of letters only and cut off from punctuation around it."""
+        known = self.runs.get(run)
+        if known is None:
+            if len(self.runs) > CACHE_WORDS:
+                self.runs.clear()
+            text = run.decode()
+            known = self.runs[run] = bool(LETTERS.fullmatch(text)) and self.cuts(text[0]) and self.cuts(text[-1])
+        return known
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        tokenize, spelling = self.tokenizer.model.tokenize, self.spelling
+        out: list[list[int]] = []
+        rest: list[tuple[int, str]] = []
+        for piece in pieces:
+            text = piece.decode()
+            if PRINTABLE.fullmatch(piece) and b"<|" not in piece:
+                out.append([t.id for t in tokenize(text.lower())])
+                continue
+            spelled = text.translate(spelling)
+            if spelling.OTHER in spelled:
+                rest.append((len(out), text))
+                out.append([])
+            else:
+                out.append([t.id for t in tokenize(spelled)])
+        found = self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False)
+        for (i, _), encoded in zip(rest, found):
+            out[i] = encoded.ids
+        return out
 
 
 def pack_ids(ids: np.ndarray) -> tuple[bytes, list[int]]:

@@ -189,6 +189,12 @@ class Words:
         """First place of every distinct word, and each word's number; compared by bytes."""
         return distinct_ranges(self.data, self.starts, self.ends)
 
+    def vocabulary(self) -> tuple[list[bytes], np.ndarray]:
+        """Distinct words, and each word's number in them."""
+        first, inverse = self.distinct()
+        data = self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist())], inverse
+
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sum of per-byte flags for every text."""
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])

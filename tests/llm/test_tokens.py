@@ -49,18 +49,42 @@ def test_library_words_match_whole_texts(library):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def ids_of(model, texts):
+    ids, counts = model.words.encode_texts(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def test_every_code_point_beside_punctuation_matches_the_library(library):
     """Some letters become a letter and a mark, which the library joins with punctuation."""
     model = tokenio.LibraryEncoder(vocabulary())
     points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
     for form in ("{}?", "?{}", "a{},"):
         texts = [form.format(c) for c in points]
-        words = [t.encode() for t in texts]
         want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-        got = model.encode_words(words)
-        assert [t for t, g, w in zip(texts, got, want) if g != w] == []
+        assert [t for t, g, w in zip(texts, ids_of(model, texts), want) if g != w] == []
     for t in ("হয়,", "নয়,", "तरफ़,", "HANGİ?", "(HANGİ)"):
-        assert model.encode_words([t.encode()]) == [library.encode(t, add_special_tokens=False).ids]
+        assert ids_of(model, [t]) == [library.encode(t, add_special_tokens=False).ids]
+
+
+def test_every_code_point_among_letters_matches_the_library(library):
+    """Letters, marks, digits, signs and controls, joined with what may stand beside them."""
+    model = tokenio.LibraryEncoder(vocabulary())
+    points = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for form in ("H{}h", "é{}-É", "{0}{0}'s", "x'{}l", "({}1)"):
+        texts = [form.format(c) for c in points]
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [t for t, g, w in zip(texts, ids_of(model, texts), want) if g != w] == []
+
+
+def test_random_words_are_cut_as_the_library_cuts(library):
+    model = tokenio.LibraryEncoder(vocabulary())
+    signs = ["'", "''", "'s", "'S", "'re", "'ll", "l", "ve", "t", "D", "1", "42", "-", "?!", "<|", "|>", "<",
+             "<|endoftext|>", "é", "Ü", "İ", "ß", "হয়", "’", "\u0331", "\u0307", "ǅ", "я", "中文", "²", "\x00", "\x7f",
+             " ", "\n", "\u00a0", "\u2028", "Hello"]
+    pick = np.random.default_rng(3)
+    texts = ["".join(signs[i] for i in pick.integers(0, len(signs), pick.integers(0, 9))) for _ in range(30_000)]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, ids_of(model, texts), want) if g != w] == []
 
 
 def test_small_word_cache_changes_nothing():
