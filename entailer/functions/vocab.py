@@ -56,6 +56,8 @@ PROPERTY_CLASSES = (
     OWL_TRANSITIVE_PROPERTY,
 )
 
+VOCABULARY = (*SCHEMA_PREDICATES, *PROPERTY_CLASSES, RDF_TYPE, OWL_SAME_AS)
+
 RESTRICTION_KINDS = {
     "hasValue": OWL_HAS_VALUE,
     "someValuesFrom": OWL_SOME_VALUES_FROM,

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from entailer.functions import vocab as V
 from entailer.operators.fixpoint import fresh, is_empty, new_facts, pin
 from entailer.operators.joins import join_back, measure
+from entailer.operators.ranks import ranked
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -87,6 +88,20 @@ def cluster_members(clusters: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_members"), F.max("member").alias("max_member"))
 
 
+def cluster_pages(clusters: DataFrame, size: int = 1000) -> DataFrame:
+    """The member lists, in pages ``(id, page, members)`` of at most ``size`` members.
+
+    Members ascend over the pages of a cluster (from page 0; the id comes first). They
+    are numbered by ranges, not by a window, so a cluster that holds a third of all
+    members spreads over tasks, and no list is longer than a page.
+    """
+    if size < 1:
+        raise ValueError("a page holds at least one member")
+    numbered = ranked(with_ids(clusters), ["member"], within=["id"])
+    return numbered.groupBy("id", F.floor(F.col("rank") / size).alias("page")).agg(
+        F.sort_array(F.collect_list("member")).alias("members"))
+
+
 def cluster_links(clusters: DataFrame) -> DataFrame:
     """C7 (canonical form): ``member owl:sameAs id`` triples."""
     return clusters.select(F.col("member").alias("s"), F.lit(V.OWL_SAME_AS).alias("p"),

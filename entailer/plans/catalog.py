@@ -27,7 +27,7 @@ from entailer.operators.graph import (
     split_graph,
     types_of,
 )
-from entailer.plans.materialize import OwlSchema, materialize_owl, materialize_rdfs
+from entailer.plans.materialize import OwlSchema, materialize_owl, materialize_owl_encoded, materialize_rdfs
 from entailer.plans.merged import materialize_owl_merged
 from entailer.plans.stored import extend, materialize_owl_at, read_materialized
 from entailer.plans.testgraph import derived_graph, merge_graph
@@ -262,6 +262,12 @@ def cluster_members(spark, sf_dir):
     return S.cluster_members(_clusters(spark, sf_dir)[1])
 
 
+def cluster_pages(spark, sf_dir):
+    """Member lists in pages of two, so that given clusters have several."""
+    return S.cluster_pages(_clusters(spark, sf_dir)[1], size=2).select(
+        "id", "page", F.array_join("members", " ").alias("members"))
+
+
 def owl11(spark, sf_dir):
     g, clusters = _clusters(spark, sf_dir)
     return S.owl11(g.abox, clusters)
@@ -290,6 +296,11 @@ def materialize_owl_q(spark, sf_dir):
     return materialize_owl(derived_graph(spark, sf_dir)).abox
 
 
+def materialize_owl_encoded_q(spark, sf_dir):
+    """The clusters' materialisation over codes: rules, links, merged terms."""
+    return materialize_owl_encoded(derived_graph(spark, sf_dir), same_as="clusters").abox
+
+
 def owl7_links(spark, sf_dir):
     return S.cluster_links(_clusters(spark, sf_dir)[1])
 
@@ -349,6 +360,7 @@ QUERIES: dict[str, Query] = {
     "owl4_compact": owl4_compact,
     "owl7_clusters": owl7_clusters,
     "cluster_members": cluster_members,
+    "cluster_pages": cluster_pages,
     "owl7_links": owl7_links,
     "owl8": owl8,
     "owl11": owl11,
@@ -363,6 +375,7 @@ QUERIES: dict[str, Query] = {
     "materialize_owl": materialize_owl_q,
     "materialize_owl_transitive": materialize_owl_transitive,
     "materialize_owl_clusters": materialize_owl_clusters,
+    "materialize_owl_encoded": materialize_owl_encoded_q,
     "materialize_owl_schema": materialize_owl_schema,
     "materialize_owl_merged": materialize_owl_merged_q,
     "materialize_owl_batch": materialize_owl_batch,

@@ -261,6 +261,11 @@ def oracle_sql() -> dict[str, str]:
     last = f"f{OWL_ROUNDS}"
     trounds = _with(*_owl_rounds(transitive=True))
     fcl = _with(*_clusters_over(last))
+    clustered = P + rounds + fcl + f"""
+SELECT s, p, o FROM {last}
+UNION SELECT member, '{SAME}', id FROM fcl
+UNION SELECT coalesce(a.id, t.s), t.p, coalesce(b.id, t.o) FROM {last} t
+  LEFT JOIN fcl a ON a.member = t.s LEFT JOIN fcl b ON b.member = t.o WHERE t.p <> '{SAME}'"""
     return {
         "normalise_vocab": P + f"\n{graph}",
         "split_tbox": P + f"\nSELECT * FROM ({graph}) g WHERE {IS_SCHEMA}",
@@ -316,6 +321,9 @@ FROM (SELECT s, p, o FROM abox UNION ALL SELECT DISTINCT s, p, o FROM ({_links_i
         "owl7_clusters": P + cl + "\nSELECT member, id FROM cl",
         "cluster_members": P + cl + "\nSELECT id, count(*) AS n_members, max(member) AS max_member "
         "FROM (SELECT member, id FROM cl UNION ALL SELECT DISTINCT id, id FROM cl) m GROUP BY id",
+        "cluster_pages": P + cl + "\nSELECT id, n // 2 AS page, string_agg(member, ' ' ORDER BY member) AS members FROM ("
+        "SELECT id, member, row_number() OVER (PARTITION BY id ORDER BY member) - 1 AS n FROM "
+        "(SELECT member, id FROM cl UNION ALL SELECT DISTINCT id, id FROM cl) m) r GROUP BY id, n // 2",
         "owl8": _single("SELECT x.o AS s, i.inv AS p, x.s AS o FROM abox x JOIN inv i ON x.p = i.prop"),
         "owl11": P + cl + f"""
 SELECT s, p, o FROM abox WHERE p <> '{SAME}'
@@ -347,11 +355,8 @@ UNION SELECT s, '{V.RDFS_SUBPROPERTY_OF}', o FROM sp""",
         "materialize_owl_batch": P + rounds + f"\nSELECT s, p, o FROM {last} UNION {_links(last)}",
         "owl7_links": P + cl + f"\nSELECT member AS s, '{SAME}' AS p, id AS o FROM cl",
         "materialize_owl_transitive": P + trounds + f"\nSELECT s, p, o FROM {last} UNION {_links(last)}",
-        "materialize_owl_clusters": P + rounds + fcl + f"""
-SELECT s, p, o FROM {last}
-UNION SELECT member, '{SAME}', id FROM fcl
-UNION SELECT coalesce(a.id, t.s), t.p, coalesce(b.id, t.o) FROM {last} t
-  LEFT JOIN fcl a ON a.member = t.s LEFT JOIN fcl b ON b.member = t.o WHERE t.p <> '{SAME}'""",
+        "materialize_owl_clusters": clustered,
+        "materialize_owl_encoded": clustered,
         "materialize_owl_merged": _prelude(ABOX_RAW + " union all " + MERGE_ABOX, AXIOMS + MERGE_AXIOMS)
         + _with(*_merged_rounds()) + f"""
 SELECT s, p, o FROM m{MERGE_ROUNDS} WHERE p <> '{SAME}'
