@@ -144,8 +144,10 @@ def train_profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
         F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = map_batches(rows, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("rank", rank - 1).where(F.col("rank") < top).select("lang", "rank", "gram")
+    # A bound on the bare row number lets Spark cut every task's rows to ``top`` before the shuffle.
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return counts.withColumn("place", place).where(F.col("place") <= top).select(
+        "lang", (F.col("place") - 1).alias("rank"), "gram")
 
 
 class Profiles:

@@ -82,3 +82,8 @@ def test_held_out_accuracy(spark):
     held = [r for r in op1_language_id(spark, SF).collect() if r["held_out"] and langs[r["doc_id"]]]
     right = sum(r["lang_pred"] == langs[r["doc_id"]] for r in held)
     assert len(held) > 20 and right >= 0.97 * len(held)
+
+
+def test_profiles_are_cut_to_their_length_before_the_shuffle(spark):
+    plan = langid.train_profiles(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
