@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from entailer.functions import vocab as V
 from entailer.functions.terms import term_parts
 from entailer.operators import closure, rules_owl as O, rules_rdfs as R, sameas as S
-from entailer.operators.fixpoint import new_facts, union_all
+from entailer.operators.fixpoint import new_facts, pin, union_all
 from entailer.operators.joins import measure
 from entailer.operators.merging import Forest, expanded
 from entailer.operators.reachability import owl4_compact as owl4_labels
@@ -243,9 +243,14 @@ def owl16(spark, sf_dir):
     return O.owl16(g.abox, types_of(g.abox), restrictions(g.tbox, "allValuesFrom"))
 
 
-def _clusters(spark, sf_dir):
-    """Clusters of asserted sameAs plus the OWL 1/2 links of the asserted ABox."""
+def _clusters(spark, sf_dir, stored=False):
+    """Clusters of asserted sameAs plus the OWL 1/2 links of the asserted ABox.
+
+    The links read the ABox five times; ``stored`` builds it from the tables once.
+    """
     g = derived_graph(spark, sf_dir)
+    if stored:
+        g = Graph(abox=pin(g.abox), tbox=pin(g.tbox))
     links = O.owl1(g.abox, properties_of_kind(g.tbox, V.OWL_FUNCTIONAL_PROPERTY),
                    distinct=False).unionByName(
         O.owl2(g.abox, properties_of_kind(g.tbox, V.OWL_INVERSE_FUNCTIONAL_PROPERTY),
@@ -264,7 +269,7 @@ def cluster_members(spark, sf_dir):
 
 def cluster_pages(spark, sf_dir):
     """Member lists in pages of two, so that given clusters have several."""
-    return S.cluster_pages(_clusters(spark, sf_dir)[1], size=2).select(
+    return S.cluster_pages(_clusters(spark, sf_dir, stored=True)[1], size=2).select(
         "id", "page", F.array_join("members", " ").alias("members"))
 
 
