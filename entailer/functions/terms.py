@@ -17,12 +17,13 @@ XSD_STRING = "<http://www.w3.org/2001/XMLSchema#string>"
 LANG_STRING = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#langString>"
 
 HEX = "[0-9A-Fa-f]"
-# Pieces of a term: a surrogate pair, a character by its number (surrogates have none),
-# a letter escape, plain text, a lone backslash.
-PIECES = (rf"(?s)\\u[dD][89abAB]{HEX}{{2}}\\u[dD][c-fC-F]{HEX}{{2}}"
+# Pieces of a term: a surrogate pair, a character by its number (surrogates have none) or a
+# letter escape, each with the plain text after it; a lone backslash, plain text.
+PIECES = (rf"(?s)(?:\\u[dD][89abAB]{HEX}{{2}}\\u[dD][c-fC-F]{HEX}{{2}}"
           rf"|\\u(?![dD][89a-fA-F]){HEX}{{4}}"
           rf"|\\U(?:0000(?![dD][89a-fA-F])|000[1-9A-Fa-f]|0010){HEX}{{4}}"
-          r"|\\[^uU]|[^\\]+|\\")
+          r"|\\[^uU])[^\\]*|[^\\]+|\\")
+HIGH_SURROGATES = ("d8", "d9", "da", "db")
 
 
 def bound(c: Column, expr: Callable[[Column], Column]) -> Column:
@@ -41,13 +42,14 @@ def read_term(c: Column) -> Column:
 def decode_escapes(c: Column) -> Column:
     """Every N-Triples escape decoded; what is no escape stays as it is."""
     def piece(x: Column) -> Column:
-        # A pair or a number alone is UTF-16 once its marks are gone.
-        short = F.decode(F.unhex(F.replace(x, F.lit("\\u"), F.lit(""))), "UTF-16BE")
-        long = F.decode(F.unhex(F.substring(x, 3, 8)), "UTF-32")
-        out = F.when(x.startswith("\\u") & (F.length(x) > 2), short).when(
-            x.startswith("\\U") & (F.length(x) > 2), long)
+        after = lambda n: F.substr(x, F.lit(n + 1))
+        pair = F.decode(F.unhex(F.concat(F.substring(x, 3, 4), F.substring(x, 9, 4))), "UTF-16BE")
+        short = F.when(F.lower(F.substring(x, 3, 2)).isin(*HIGH_SURROGATES), F.concat(pair, after(12))).otherwise(
+            F.concat(F.decode(F.unhex(F.substring(x, 3, 4)), "UTF-16BE"), after(6)))
+        long = F.concat(F.decode(F.unhex(F.substring(x, 3, 8)), "UTF-32"), after(10))
+        out = F.when(~x.startswith("\\"), x).when(x.startswith("\\u"), short).when(x.startswith("\\U"), long)
         for letter, plain in LETTER_ESCAPES.items():
-            out = out.when(x == F.lit("\\" + letter), F.lit(plain))
+            out = out.when(x.startswith("\\" + letter), F.concat(F.lit(plain), after(2)))
         return out.otherwise(x)
 
     found = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(PIECES), F.lit(0)), piece), "")
