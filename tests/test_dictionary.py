@@ -64,6 +64,17 @@ def test_cluster_pages(spark, size):
         S.cluster_pages(pairs, 0)
 
 
+@pytest.mark.parametrize("size", [2, 1000])
+def test_cluster_members_lists_every_member(spark, size):
+    groups = {"a": [f"a{i}" for i in range(6)], "b": ["b1"]}
+    pairs = spark.createDataFrame([(m, g) for g, ms in groups.items() for m in ms], "a string, b string")
+    got = S.cluster_members(S.same_as_clusters(pairs), size).collect()
+    assert {(r["id"], r["n_members"], r["max_member"]) for r in got} == {("a", 7, "a5"), ("b", 2, "b1")}
+    lists = {g: [m for r in sorted(got, key=lambda r: r["page"]) if r["id"] == g for m in r["members"]] for g in groups}
+    assert lists == {g: sorted([g, *ms]) for g, ms in groups.items()}
+    assert all(len(r["members"]) <= size for r in got)
+
+
 def test_pages_of_no_clusters(spark):
     assert S.cluster_pages(spark.createDataFrame([], "member string, id string")).collect() == []
 
