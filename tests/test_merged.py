@@ -189,6 +189,35 @@ def test_expansion_on_demand(spark, monkeypatch):
         merging.expanded(facts, clusters, max_rows=25)
 
 
+def test_owl11_spells_out_every_substitution(spark):
+    """The fixture's twenty triples, terms outside clusters, and no sameAs triple."""
+    from entailer.operators import sameas
+
+    pairs = [("v", "w"), ("w", "u"), ("u", "x"), ("a", "x"), ("d", "c"), ("d", "f"), ("g", "d")]
+    clusters = sameas.same_as_clusters(spark.createDataFrame(pairs, "a string, b string"))
+    facts = spark.createDataFrame([("u", "p", "d"), ("v", "p", "g"), ("z", "p", "z"), ("z", "q", "a"),
+                                   ("v", SAME, "w")], TRIPLES)
+    got = sameas.substituted(facts, clusters)
+    want = {(s, "p", o) for s in "auvwx" for o in "cdfg"} | {("z", "p", "z")} | {("z", "q", o) for o in "auvwx"}
+    assert got.count() == 26 and rows(got) == want
+    assert rows(sameas.substituted(facts, clusters.limit(0))) == {
+        ("u", "p", "d"), ("v", "p", "g"), ("z", "p", "z"), ("z", "q", "a")}
+
+
+def test_owl11_query_lists_more_than_canonical_triples(spark, tmp_path):
+    """Two documents with one text: each has the other's source, by either name."""
+    import duckdb
+    from entailer.plans.catalog import owl11
+
+    src = "/root/testdata/sf0.001"
+    for name in ("customer", "supplier", "part", "orders", "lineitem", "conversations", "nation", "region"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{src}/{name}.parquet")
+    duckdb.sql(f"copy (select * from (values (1::bigint, 't', 'en', 'x'), (2, 't', 'en', 'y')) d(doc_id, text, lang, source)) "
+               f"to '{tmp_path}/documents.parquet' (format parquet)")
+    got = {(r["s"], r["p"], r["o"]) for r in owl11(spark, str(tmp_path)).collect() if "source_" in r["p"]}
+    assert got == {(f"ex:doc{i}", f"ex:source_{x}", f"ex:{x}") for i in (1, 2) for x in "xy"}
+
+
 def test_measured_sides_only(spark):
     """A forest side is broadcast only after it was measured."""
     f = Forest()
