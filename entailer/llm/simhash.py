@@ -200,7 +200,8 @@ def star_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     low = keyed.groupBy("pair", "part").agg(F.min("fp").alias("fp2")).withColumn(
         "k", F.xxhash64("pair", "part"))
     # Joined on a hash of the key: the aggregate is dealt out anew, so AQE can split both sides.
-    joined = keyed.withColumn("k", F.xxhash64("pair", "part")).join(low, ["k", "pair", "part"])
+    # Three rows each from one: Spark sizes them as one, so a broadcast is not left to it.
+    joined = keyed.withColumn("k", F.xxhash64("pair", "part")).join(low.hint("merge"), ["k", "pair", "part"])
     return joined.where((F.col("fp") != F.col("fp2")) & (_distance("fp", "fp2") <= max_bits)).select(
         F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
@@ -216,7 +217,8 @@ def cross_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     pair = (F.col("fp") < F.col("fp2")) & (F.col("comp") != F.col("comp2")) & (
         _distance("fp", "fp2") <= max_bits) & (
         F.shiftrightunsigned("key", 58) == _first_family())
-    return left.join(right.withColumnRenamed("key", "key2"),
+    # About a hundred rows each from one, sized as one by Spark: never broadcast.
+    return left.join(right.withColumnRenamed("key", "key2").hint("merge"),
                      (F.col("key") == F.col("key2")) & pair).select(
         F.col("comp").alias("a"), F.col("comp2").alias("b")).distinct()
 

@@ -8,6 +8,7 @@ import xxhash
 
 from entailer.llm import simhash
 from entailer.llm.queries import op9_simhash_near_copies
+from entailer.operators.fixpoint import pin
 from tests.llm.helpers import DOC_SCHEMA, as_table, awkward_rows, docs, prose, records, with_clashes
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -123,3 +124,11 @@ def test_random_fingerprints(spark):
 
 def test_empty_table(spark):
     assert simhash.near_copies(spark.createDataFrame([], DOC_SCHEMA), ["doc_id"]).count() == 0
+
+
+def test_joins_of_exploded_keys_are_never_broadcast(spark):
+    """Spark sizes many keys of a row as one row: a small table must not tempt it to broadcast them."""
+    fps = pin(spark.range(50).selectExpr("id as fp", "id as comp"))
+    for links in (simhash.star_links(fps), simhash.cross_links(fps)):
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
