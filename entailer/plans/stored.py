@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from entailer.functions import vocab as V
 from entailer.operators import rules_owl as O
 from entailer.operators.durable import DurableFacts, schema_digest
-from entailer.operators.fixpoint import new_facts, pin
+from entailer.operators.fixpoint import new_facts, pin, pinned
 from entailer.operators.graph import Graph, is_schema
 from entailer.operators.joins import measure, measure_many
 from entailer.plans.materialize import OwlSchema, Sides, owl_round_candidates, owl_rounds
@@ -60,9 +60,10 @@ def materialize_owl_at(graph: Graph, path: str, transitive: bool = False) -> Non
     tbox = _recognised(graph.tbox)
     digest = schema_digest(tbox)
     tbox.write.mode("overwrite").parquet(_schema_path(path, digest))
-    size = measure(pin(graph.abox.select("s", "p", "o").dropna().distinct()))
-    store = DurableFacts(spark, path, size.bytes, digest, transitive)
-    store.add(size.df, size.bytes)
+    with pinned(graph.abox.select("s", "p", "o").dropna().distinct()) as rows:
+        size = measure(rows)
+        store = DurableFacts(spark, path, size.bytes, digest, transitive)
+        store.add(rows, size.bytes)
     _run(store, OwlSchema.of(tbox))
 
 
@@ -96,8 +97,8 @@ def extend(path: str, batch: DataFrame, tbox: DataFrame | None = None) -> None:
             new.write.mode("overwrite").parquet(_schema_path(path, digest))
             schema = new
             changes = {"digest": digest, "whole": True}
-    added = measure(pin(store.new(batch.select("s", "p", "o").dropna(), store.all())))
-    store.add(added.df, added.bytes, **changes)
+    with pinned(store.new(batch.select("s", "p", "o").dropna(), store.all())) as rows:
+        store.add(rows, measure(rows).bytes, **changes)
     _run(store, OwlSchema.of(schema))
 
 

@@ -1,6 +1,7 @@
 """Plans at scale: hot keys are split, stored state stays in place, scans are few."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,48 @@ def test_state_is_gone_after_its_scope(spark):
         assert ("a", "ex:n", "c") in rows(out)
         assert set(os.listdir(root)) > before[0]
     assert (set(os.listdir(root)), tables()) == before
+
+
+def _graph_of_chains(spark):
+    abox = [(f"a{i}", "p", f"a{i + 1}") for i in range(40)] + [("a0", "q", "a7"), ("a3", V.RDF_TYPE, "C")]
+    tbox = [("p", V.RDF_TYPE, V.OWL_TRANSITIVE_PROPERTY), ("p", V.RDFS_SUBPROPERTY_OF, "q"),
+            ("q", V.RDFS_RANGE, "C"), ("C", V.RDFS_SUBCLASS_OF, "D")]
+    return Graph(*(spark.createDataFrame(t, "s string, p string, o string") for t in (abox, tbox)))
+
+
+@pytest.mark.parametrize("limit", [None, 0, 64 << 20])
+def test_candidates_hashed_or_sorted_give_the_same_facts(spark, monkeypatch, limit):
+    """New facts of a round: by the sorted anti-join, and with stored candidates beyond and below the bound."""
+    graph = _graph_of_chains(spark)
+    if limit is not None:
+        monkeypatch.setattr(fixpoint, "HASHED_FROM", 0)
+        monkeypatch.setattr(fixpoint, "HASHED_BYTES", limit)
+    got = materialize_owl(graph, transitive=True).abox
+    pairs = {(f"a{i}", f"a{j}") for i in range(41) for j in range(i + 1, 41)}
+    want = {(s, p, o) for s, o in pairs for p in "pq"} | {("a0", "q", "a7")}
+    want |= {(f"a{i}", V.RDF_TYPE, c) for i in range(1, 41) for c in "CD"}
+    assert got.count() == len(want) and rows(got) == want
+
+
+def test_rounds_leave_neither_shuffles_nor_the_stored_input_behind(spark):
+    """State is read from its own files: what was shuffled or pinned to write it is gone by then."""
+    import os
+
+    before = list(fixpoint._state.get(spark.sparkContext.applicationId, []))
+    df = spark.range(1000).selectExpr("cast(id as string) s", "'p' p", "'o' o")
+    with fixpoint.pinned(df) as held:
+        path = held.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert held.count() == 1000 and os.path.isdir(path)
+    assert not os.path.exists(path)
+    assert fixpoint._state.get(spark.sparkContext.applicationId, []) == before
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [f.getPath() for f in disk.localDirs()]
+    shuffles = lambda: {f for d in folders for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+    had = shuffles()
+    kept = fixpoint.pin(df.repartition(4, "s"))
+    for _ in range(100):  # removal is asynchronous
+        if not shuffles() - had:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - had and kept.count() == 1000
+    assert spark.conf.get(fixpoint.SHUFFLE_CLEANUP, "false") == "false"
